@@ -2,7 +2,7 @@
 
 A word's features are the hashed character n-grams of "<word>" and the word itself, so an unseen
 misspelling shares most of its vectors with the word it comes from. A word is the average of its
-features' embeddings; a softmax over two classes reads it. Both are trained jointly by Adam in numpy.
+features' embeddings; a softmax over two classes reads it. Both are trained jointly in numpy.
 A text is as toxic as its most toxic stretch: it is read in windows of a fixed number of distinct
 words, each window is an average of its words, and the text's logit is a smooth maximum over windows
 (so a long clean text cannot dilute one insult, and one odd clean word has a window against it).
@@ -18,9 +18,9 @@ empty table gives no rows; other columns are left out."""
 
 from __future__ import annotations
 
+import collections
 import functools
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,22 +28,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import mix64, table, text_batches
 
 BUCKETS = 1 << 17
 DIMS = 4
 WINDOW = 24
-PER_CLASS = 800
-EPOCHS = 30
+PER_CLASS = 1500
+EPOCHS = 60
+#: Steepness of the smooth maximum; texts that a feature must occur in; step sizes of embeddings, softmax, bias.
+SHARP = 2.0
+LEAST_DOCS = 8
+RATES = (16.0, 0.1, 0.2)
 FOLDS = 5
+KEPT_WORDS = 400_000
 _WORD = re.compile(r"\w+")
 
 
-def features(word: str) -> list[int]:
-    w = f"<{word}>".encode()
-    crc = zlib.crc32
-    grams = {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}
-    return [crc(w, 7) % BUCKETS, *(crc(g) % BUCKETS for g in sorted(grams) if g != w)]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of every feature: each word's n-grams of 3 to 5 bytes within "<word>", and itself."""
+    buf = np.frombuffer(b"".join([b"<%b>" % w.encode() for w in words]), np.uint8)
+    starts = np.flatnonzero(buf == 60)
+    ends = np.r_[starts[1:], len(buf)]
+    owner = np.repeat(np.arange(len(words)), ends - starts)
+    code = (buf.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    left = np.repeat(ends, ends - starts) - np.arange(len(buf))  # bytes to the word's end
+    h, buckets, owners = mix64(code), [], []
+    for n in range(2, 6):
+        m = len(buf) - n + 1
+        if m <= 0:
+            break
+        h = mix64(h[:m] * np.uint64(0x100000001B3) + code[n - 1 :])
+        if n > 2:
+            ok = left[:m] >= n
+            buckets.append(h[ok])
+            owners.append(owner[:m][ok])
+    place = np.arange(len(buf)) - np.repeat(starts, ends - starts)
+    whole = np.add.reduceat(mix64(code + place.astype(np.uint64)), starts)
+    buckets.append(mix64(whole))
+    owners.append(np.arange(len(words)))
+    return (np.concatenate(buckets) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owners)
 
 
 def words(text: str) -> list[str]:
@@ -57,36 +80,46 @@ class Model:
     def __init__(self, table: np.ndarray | None = None, bias: float = 0.0):
         self.table, self.bias, self.kept = table, bias, {}
 
-    def word(self, w: str) -> float:
-        v = self.kept.get(w)
-        if v is None:
-            v = float(self.table[features(w)].mean())
-            if len(self.kept) < 400_000:
-                self.kept[w] = v
-        return v
+    def values(self, words: list[str]) -> np.ndarray:
+        """The average of each word's features."""
+        at, owner = features(words)
+        return np.bincount(owner, self.table[at], len(words)) / np.bincount(owner, minlength=len(words))
 
-    def score(self, text: str) -> float:
+    def score(self, texts: list[str]) -> list[float]:
         if self.table is None:
-            return 0.0
-        v = np.fromiter(map(self.word, words(text)), np.float64)
-        if not len(v):
-            return float(_sigmoid(self.bias))
-        starts = np.arange(0, len(v), WINDOW)
-        z = np.add.reduceat(v, starts) / WINDOW
-        return float(_sigmoid(self.bias + _smooth_max(z)))
+            return [0.0] * len(texts)
+        docs = [words(t) for t in texts]
+        new = list({w: None for d in docs for w in d if w not in self.kept})
+        more = dict(zip(new, self.values(new).tolist(), strict=True)) if new else {}
+        found = collections.ChainMap(self.kept, more)
+        if len(self.kept) < KEPT_WORDS:
+            self.kept.update(more)
+            found = self.kept
+        out = []
+        for d in docs:
+            z = self.bias
+            if d:
+                v = np.fromiter(map(found.__getitem__, d), np.float64, len(d))
+                z += pooled(np.add.reduceat(v, np.arange(0, len(v), WINDOW)) / WINDOW)
+            out.append(float(_sigmoid(z)))
+        return out
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _smooth_max(z: np.ndarray) -> float:
+def pooled(z: np.ndarray) -> float:
+    """A smooth maximum."""
     m = z.max()
-    return float(m + np.log(np.exp(z - m).sum()) - np.log1p(np.log(len(z))))
+    return float(m + np.log(np.exp(SHARP * (z - m)).sum()) / SHARP)
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 6) -> Model:
-    """Joint full-batch Adam over embeddings and softmax; deterministic."""
+    """Joint full-batch descent over embeddings and softmax; deterministic.
+
+    Features of under `LEAST_DOCS` training texts keep no vector. Steps are scaled by the largest
+    entry of the averaged gradient, so that features grow by how often they tell the classes apart."""
     if len(set(labels.tolist())) < 2:
         return Model()
     rng = np.random.default_rng(seed)
@@ -94,45 +127,40 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     doc_words = [[vocab.setdefault(w, len(vocab)) for w in words(t)] for t in texts]
     keep = [k for k, d in enumerate(doc_words) if d]
     doc_words, y = [doc_words[k] for k in keep], labels[keep].astype(np.float64)
-    feats = [features(w) for w in vocab]
-    f_len = np.array([len(f) for f in feats])
-    f_all = np.concatenate([np.asarray(f) for f in feats])
-    f_at = np.r_[0, np.cumsum(f_len)[:-1]]
-    f_word = np.repeat(np.arange(len(vocab)), f_len)
-    used, f_all = np.unique(f_all, return_inverse=True)
+    f_all, f_word = features(list(vocab))
+    f_len = np.bincount(f_word, minlength=len(vocab))
     w_all = np.concatenate([np.asarray(d) for d in doc_words])
+    docs_of_word = np.bincount(w_all, minlength=len(vocab))
+    common = np.bincount(f_all, docs_of_word[f_word], BUCKETS) >= LEAST_DOCS
+    kept = common[f_all]
+    f_all, f_word = f_all[kept], f_word[kept]
+    used, f_all = np.unique(f_all, return_inverse=True)
     d_len = np.array([len(d) for d in doc_words])
     n_win = -(-d_len // WINDOW)
     win_at = np.r_[0, np.cumsum(n_win)[:-1]]
     w_win = np.repeat(win_at, d_len) + (np.arange(len(w_all)) - np.repeat(np.r_[0, np.cumsum(d_len)[:-1]], d_len)) // WINDOW
-    n_wins, win_doc = int(n_win.sum()), np.repeat(np.arange(len(y)), n_win)
+    win_doc = np.repeat(np.arange(len(y)), n_win)
     first_word = np.flatnonzero(np.diff(w_win, prepend=-1))
-    emb = rng.normal(0, 0.05, (len(used), DIMS))
-    soft = rng.normal(0, 1, (DIMS, 2))
-    bias = np.zeros(2)
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    params = [emb, soft, bias]
-    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    emb, soft, bias = rng.normal(0, 0.01, (len(used), DIMS)), rng.normal(0, 1, (DIMS, 2)), np.zeros(2)
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    momentum = [np.zeros_like(p) for p in (emb, soft, bias)]
     for t in range(1, epochs + 1):
-        # each word's vector projected on the difference of the two classes is all that the loss sees
+        # the loss sees the word vectors through the difference of the two classes alone
         diff = soft[:, 1] - soft[:, 0]
-        word_vec = np.add.reduceat(emb[f_all], f_at) / f_len[:, None]
-        word_z = word_vec @ diff
+        word_z = np.bincount(f_word, (emb @ diff)[f_all], len(vocab)) / f_len
         z = np.add.reduceat(word_z[w_all], first_word) / WINDOW
         top = np.maximum.reduceat(z, win_at)
-        e = np.exp(z - top[win_doc])
+        e = np.exp(SHARP * (z - top[win_doc]))
         s = np.add.reduceat(e, win_at)
-        doc_z = top + np.log(s) - np.log1p(np.log(n_win)) + bias[1] - bias[0]
-        g = (_sigmoid(doc_z) - y) * weight / len(y)
+        g = (_sigmoid(top + np.log(s) / SHARP + bias[1] - bias[0]) - y) * weight
         g_win = g[win_doc] * e / s[win_doc] / WINDOW
-        g_word = np.bincount(w_all, g_win[w_win], len(vocab))
-        g_soft = word_vec.T @ g_word
-        per_feature = np.bincount(f_all, (g_word / f_len)[f_word], len(used))
-        grads = [per_feature[:, None] * diff[None, :] + 1e-7 * emb, np.stack([-g_soft, g_soft], 1), np.array([-g.sum(), g.sum()])]
-        for k, (p, gr, lr) in enumerate(zip(params, grads, (0.15, 0.05, 0.05), strict=True)):
-            m[k] = 0.9 * m[k] + 0.1 * gr
-            v[k] = 0.99 * v[k] + 0.01 * gr * gr
-            p -= lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-9)
+        g_word = np.bincount(w_all, g_win[w_win], len(vocab)) / f_len
+        g_feature = np.bincount(f_all, g_word[f_word], len(used))
+        g_soft = emb.T @ g_feature
+        grads = [g_feature[:, None] * diff[None, :], np.stack([-g_soft, g_soft], 1), np.array([-g.sum(), g.sum()])]
+        for k, (p, gr, rate) in enumerate(zip((emb, soft, bias), grads, RATES, strict=True)):
+            momentum[k] = 0.7 * momentum[k] + 0.3 * gr
+            p -= rate * (1 - t / (epochs + 1)) * momentum[k] / (np.abs(momentum[k]).max() + 1e-12)
     out = np.zeros(BUCKETS, np.float32)
     out[used] = emb @ (soft[:, 1] - soft[:, 0])
     return Model(out, float(bias[1] - bias[0]))
@@ -155,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 def _scores(batches: Iterator[pa.RecordBatch], table: np.ndarray | None, bias: float) -> Iterator[pa.RecordBatch]:
     model = Model(table, bias)
     for batch, texts in text_batches(batches, "text"):
-        scores = [model.score(t.decode("utf-8", "replace")) for t in texts]
+        scores = model.score([t.decode("utf-8", "replace") for t in texts])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
 
@@ -172,7 +200,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _clean(batches: Iterator[pa.RecordBatch], table: np.ndarray | None, bias: float) -> Iterator[pa.RecordBatch]:
     model = Model(table, bias)
     for batch, texts in text_batches(batches, "text"):
-        yield batch.filter(pa.array([model.score(t.decode("utf-8", "replace")) < 0.5 for t in texts]))
+        yield batch.filter(pa.array([s < 0.5 for s in model.score([t.decode("utf-8", "replace") for t in texts])]))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
