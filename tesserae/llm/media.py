@@ -18,6 +18,7 @@ text longer than a batch is a batch of its own."""
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import struct
@@ -33,7 +34,7 @@ from .common import table, text_batches
 
 UNIT = 192
 RESTART = 8
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 3_000_000
 #: Fixed values of the format: coefficients in zigzag order, row by row.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 #: (components, first coefficient, last, high bit, low bit) of the scans written.
@@ -273,6 +274,10 @@ def parse(data: bytes) -> dict:
     out: dict = {"scans": [], "payload": None, "quant": {}}
     tables: dict[int, bytes] = {}
     restart, at = 0, 2
+    raw = np.frombuffer(data, np.uint8)
+    ff = np.flatnonzero(raw[:-1] == 0xFF)
+    after = raw[ff + 1]
+    marks = ff[(after != 0) & (after != 0xFF) & ((after < 0xD0) | (after > 0xD7))].tolist()
     while at < len(data):
         marker = data[at + 1]
         if marker == 0xD9:
@@ -305,10 +310,8 @@ def parse(data: bytes) -> dict:
             which = [body[2 + 2 * i] for i in range(body[0])]
             ss, se, bits = body[-3:]
             used = tuple(tables.get(w >> 4 if ss == 0 else 0x10 | w & 15, b"") if not (ss == 0 and bits >> 4) else b"" for w in which)
-            end = data.find(b"\xff", at)
-            while 0 <= end < len(data) - 1 and (data[end + 1] in (0, 0xFF) or 0xD0 <= data[end + 1] <= 0xD7):
-                end = data.find(b"\xff", end + 2 - (data[end + 1] == 0xFF))
-            end = end if end >= 0 else len(data)
+            nth = bisect.bisect_left(marks, at)
+            end = marks[nth] if nth < len(marks) else len(data)
             out["scans"].append(((comps, ss, se, bits >> 4, bits & 15, used, restart), data[at:end]))
             at = end
     return out
