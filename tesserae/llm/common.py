@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads on from there, so that lost executors lose no lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Writes the rows to the shared folder and reads on from there, so that lost executors lose no
+    lineage; files of earlier steps that are done with are given back first."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sweep(spark)
     return df.checkpoint(eager=True)
 
 

@@ -16,7 +16,7 @@ shuffle many times its size, so positions are thinned by content, in the way of
 4. Round three takes what is undecided, the starts at the edges of repeats, singly, at the full
    length: each start of an undecided block, and of one member of every other class with its anchor.
 
-Decisions of rounds two and three rest on 128 bits of two independent fingerprints. Counts are
+Round two decides by 128 bits, round three by 64 bits drawn from two independent fingerprints. Counts are
 aggregates that combine before the shuffle, and rows meet them by sort-merge joins that split hot
 keys, so a passage that a third of all documents share is no bottleneck. Strings lie within one
 document; only positions are shuffled, and each text twice, compressed.
@@ -135,7 +135,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _to_starts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(print_1, print_2, ref, start) of every start in the asked blocks of each text."""
+    """(print, ref, start) of every start in the asked blocks of each text."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         for ref, packed, asked in zip(batch.column("ref").to_pylist(), batch.column("packed").to_pylist(), batch.column("asked"), strict=True):
@@ -147,8 +147,8 @@ def _to_starts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
                 k, first = n[own], lo[own] - s * SEGMENT
                 start = np.repeat(first, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                 part = raw[s * SEGMENT : (s + 1) * SEGMENT + WINDOW + length]
-                both = [Prints(part, w)(start, start + length).view(np.int64) for w in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(np.full(len(start), ref)), pa.array(start + s * SEGMENT)], names=["print_1", "print_2", "ref", "start"])
+                prints = mix64(Prints(part, 0)(start, start + length) ^ Prints(part, 1)(start, start + length)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(prints), pa.array(np.full(len(start), ref)), pa.array(start + s * SEGMENT)], names=["print", "ref", "start"])
 
 
 def spans(decided: np.ndarray | None, starts: np.ndarray | None, length: int) -> np.ndarray:
@@ -196,15 +196,14 @@ def _dedup(docs: DataFrame, length: int, digest: bool) -> DataFrame:
     packed = docs.mapInArrow(_packed, "doc_id long, ref long, packed binary")
     ranks = found.groupBy("rank").agg(F.count("*").alias("k")).where("k > 1").select("rank")
     live = cut(found.join(ranks, "rank"))
-    classes = live.groupBy("rank", "extent").agg(F.count("*").alias("k"), F.min(F.struct("ref", "at")).alias("one"))
-    classes = cut(classes)
+    classes = cut(live.groupBy("rank", "extent").agg(F.count("*").alias("k"), F.min(F.struct("ref", "at")).alias("one")))
+    unsettled = classes.where("k = 1").select("rank").distinct()
+    asked = cut(classes.join(unsettled, "rank").select("one.ref", "one.at").groupBy("ref").agg(F.collect_list("at").alias("asked")))
+    starts = packed.join(asked, "ref").select("ref", "packed", "asked").mapInArrow(functools.partial(_to_starts, length=length), "print long, ref long, start long")
+    prints = starts.groupBy("print").agg(F.count("*").alias("k")).where("k > 1").select("print")
+    single = cut(starts.join(prints, "print").groupBy("ref").agg(F.collect_list("start").alias("starts")))
     whole = live.join(classes.where("k > 1").select("rank", "extent"), ["rank", "extent"])
     decided = whole.groupBy("ref").agg(F.collect_list("at").alias("decided"))
-    unsettled = classes.where("k = 1").select("rank").distinct()
-    asked = classes.join(unsettled, "rank").select("one.ref", "one.at").groupBy("ref").agg(F.collect_list("at").alias("asked"))
-    starts = cut(packed.join(asked, "ref").select("ref", "packed", "asked").mapInArrow(functools.partial(_to_starts, length=length), "print_1 long, print_2 long, ref long, start long"))
-    prints = starts.groupBy("print_1", "print_2").agg(F.count("*").alias("k")).where("k > 1").select("print_1", "print_2")
-    single = starts.join(prints, ["print_1", "print_2"]).groupBy("ref").agg(F.collect_list("start").alias("starts"))
     both = packed.join(decided, "ref", "left").join(single, "ref", "left").select("doc_id", "packed", "decided", "starts")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
     return both.mapInArrow(functools.partial(_results, length=length, digest=digest), schema)
