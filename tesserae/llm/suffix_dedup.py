@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import cut, mix64, table, text_batches
 
 LENGTH = 200
-WINDOW = 96
+WINDOW = 80
 GRAM = 24
 SEGMENT = 1 << 20
 _BITS = np.uint64(22)
@@ -197,13 +197,15 @@ def _dedup(docs: DataFrame, length: int, digest: bool) -> DataFrame:
     ranks = found.groupBy("rank").agg(F.count("*").alias("k")).where("k > 1").select("rank")
     live = cut(found.join(ranks, "rank"))
     classes = cut(live.groupBy("rank", "extent").agg(F.count("*").alias("k"), F.min(F.struct("ref", "at")).alias("one")))
+    whole = live.join(classes.where("k > 1").select("rank", "extent"), ["rank", "extent"])
+    decided = cut(whole.groupBy("ref").agg(F.collect_list("at").alias("decided")))
     unsettled = classes.where("k = 1").select("rank").distinct()
     asked = cut(classes.join(unsettled, "rank").select("one.ref", "one.at").groupBy("ref").agg(F.collect_list("at").alias("asked")))
+    del live, whole, classes, unsettled  # their files go before the single starts come
     starts = packed.join(asked, "ref").select("ref", "packed", "asked").mapInArrow(functools.partial(_to_starts, length=length), "print long, ref long, start long")
     prints = starts.groupBy("print").agg(F.count("*").alias("k")).where("k > 1").select("print")
     single = cut(starts.join(prints, "print").groupBy("ref").agg(F.collect_list("start").alias("starts")))
-    whole = live.join(classes.where("k > 1").select("rank", "extent"), ["rank", "extent"])
-    decided = whole.groupBy("ref").agg(F.collect_list("at").alias("decided"))
+    del starts, prints, asked
     both = packed.join(decided, "ref", "left").join(single, "ref", "left").select("doc_id", "packed", "decided", "starts")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
     return both.mapInArrow(functools.partial(_results, length=length, digest=digest), schema)
