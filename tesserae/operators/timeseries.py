@@ -84,39 +84,41 @@ def robust_spikes(df: DataFrame, key: str, value: str = "mad", z: float = 8.0, g
     return grouped.groupBy(key, "island").agg(peak.alias("p")).select(key, F.col("p.pos").alias("pos"), F.col(f"p.{value}").alias(value))
 
 
-def tolerance_scores(found: DataFrame, truth: DataFrame, key: str, tolerance: int) -> DataFrame:
+def tolerance_scores(found: DataFrame, truth: DataFrame, key: str | list[str], tolerance: int) -> DataFrame:
     """(key, n, precision, recall, f1) of positions that match within a tolerance.
 
     Both sides meet in buckets of tolerance + 1 positions, so the range join is an equi-join."""
-    size = tolerance + 1
-    f = found.select(key, F.col("pos").alias("f_pos")).distinct()
-    t = truth.select(key, F.col("pos").alias("t_pos")).distinct()
+    keys, size = [key] if isinstance(key, str) else list(key), tolerance + 1
+    f = found.select(*keys, F.col("pos").alias("f_pos")).distinct()
+    t = truth.select(*keys, F.col("pos").alias("t_pos")).distinct()
     spread = f.withColumn("_b", F.explode(F.array(*[F.floor(F.col("f_pos") / size) + d for d in (-1, 0, 1)])))
-    met = spread.join(t.withColumn("_b", F.floor(F.col("t_pos") / size)), [key, "_b"]).where(F.abs(F.col("f_pos") - F.col("t_pos")) <= tolerance)
-    hits = met.groupBy(key).agg(F.countDistinct("f_pos").alias("tp_found"), F.countDistinct("t_pos").alias("tp_truth"))
-    totals = f.groupBy(key).agg(F.count("*").alias("n")).join(t.groupBy(key).agg(F.count("*").alias("n_truth")), key, "full").join(hits, key, "left").na.fill(0)
+    met = spread.join(t.withColumn("_b", F.floor(F.col("t_pos") / size)), [*keys, "_b"]).where(F.abs(F.col("f_pos") - F.col("t_pos")) <= tolerance)
+    hits = met.groupBy(*keys).agg(F.countDistinct("f_pos").alias("tp_found"), F.countDistinct("t_pos").alias("tp_truth"))
+    sizes = f.groupBy(*keys).agg(F.count("*").alias("n")).join(t.groupBy(*keys).agg(F.count("*").alias("n_truth")), keys, "full")
+    totals = sizes.join(hits, keys, "left").na.fill(0, ["n", "n_truth", "tp_found", "tp_truth"])
     p = F.when(F.col("n") > 0, F.col("tp_found") / F.col("n")).otherwise(F.lit(0.0))
     r = F.when((F.col("n") > 0) & (F.col("n_truth") > 0), F.col("tp_truth") / F.col("n_truth")).otherwise(F.lit(0.0))
     both = totals.withColumn("precision", p).withColumn("recall", r)
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
-    return both.select(key, "n", "precision", "recall", f1.alias("f1"))
+    return both.select(*keys, "n", "precision", "recall", f1.alias("f1"))
 
 
-def hold_detector(df: DataFrame, key: str, distance, threshold: float, hold: int, value: str) -> DataFrame:
-    """(key, pos) of cuts: a row that stays over `threshold` away from the last kept row for `hold` rows
-    running becomes the next kept one; position 0 is a cut. distance(a, b) is an expression.
+def hold_detector(df: DataFrame, key: str, distance, value: str, settings: list[tuple[float, int]]) -> DataFrame:
+    """(key, thr, hold, pos) of cuts for each setting: a row that stays over `thr` away from the last kept
+    row for `hold` rows running becomes the next kept one; position 0 is a cut. distance(a, b) is an expression.
 
-    The scan is a fold over each series' ordered rows inside the JVM."""
+    The scan is a fold over each series' ordered rows inside the JVM; series are gathered once for all settings."""
     rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.col(value).alias("v")))).alias("rows"))
+    rows = rows.withColumn("s", F.explode(F.array(*[F.struct(F.lit(float(t)).alias("thr"), F.lit(h).alias("hold")) for t, h in settings])))
     zero = F.struct(F.lit(0).alias("run"), F.get("rows", F.lit(0))["v"].alias("kept"), F.array(F.lit(0)).alias("cuts"))
 
     def step(s: Column, r: Column) -> Column:
-        run = F.when(distance(r["v"], s["kept"]) > threshold, s["run"] + 1).otherwise(F.lit(0))
-        cut_here = run >= hold
+        run = F.when(distance(r["v"], s["kept"]) > F.col("s.thr"), s["run"] + 1).otherwise(F.lit(0))
+        cut_here = run >= F.col("s.hold")
         return F.struct(F.when(cut_here, F.lit(0)).otherwise(run).alias("run"), F.when(cut_here, r["v"]).otherwise(s["kept"]).alias("kept"), F.when(cut_here, F.concat(s["cuts"], F.array(r["pos"]))).otherwise(s["cuts"]).alias("cuts"))
 
     later = F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))
-    return rows.select(key, F.explode(F.aggregate(later, zero, step, lambda s: s["cuts"])).alias("pos"))
+    return rows.select(key, "s.thr", "s.hold", F.explode(F.aggregate(later, zero, step, lambda s: s["cuts"])).alias("pos"))
 
 
 def pixel_share(a: Column, b: Column) -> Column:
@@ -143,11 +145,14 @@ def run_bench(frames: DataFrame, key: str, fps: float, spike: float = 1.5, stabl
     moved = rolling_median(consecutive_mad(frames.select(key, "pos", "blocks"), key, "blocks", True).drop("blocks"), key, int(window_s * fps) // 2)
     truth, tolerance = robust_spikes(moved, key).select(key, "pos"), round(0.25 * fps)
     measures = {"pixdiff": (pixel_share, "gray"), "blockmad": (array_mad, "blocks"), "phash": (hamming, "phash"), "histrgb": (histogram_distance, "hist")}
-    parts = [(m, float(t), str(h), hold_detector(frames, key, measures[m][0], t, h, measures[m][1])) for m, ts in DETECTORS.items() for t in ts for h in HOLDS]
-    parts.append(("STABILITY-GATED", spike, "-", cuts(moved, key, spike, stable).select(key, "pos")))
-    out = None
-    for mode, threshold, hold, found in parts:
-        s = tolerance_scores(found, truth, key, tolerance)
-        row = s.select(key, F.lit(mode).alias("mode"), F.lit(threshold).alias("thr"), F.lit(hold).alias("hold"), (F.col("n") + 1).alias("segs"), F.bround("precision", 3).alias("prec"), F.bround("recall", 3).alias("rec"), F.bround("f1", 3).alias("f1"))
-        out = row if out is None else out.union(row)
-    return out.orderBy(F.desc("f1"), "mode", "thr", "hold")
+    found = cuts(moved, key, spike, stable).select(key, F.lit("STABILITY-GATED").alias("mode"), F.lit(float(spike)).alias("thr"), F.lit("-").alias("hold"), "pos")
+    for mode, thresholds in DETECTORS.items():
+        settings = [(t, h) for t in thresholds for h in HOLDS]
+        got = hold_detector(frames, key, measures[mode][0], measures[mode][1], settings)
+        found = found.union(got.select(key, F.lit(mode).alias("mode"), "thr", F.col("hold").cast("string").alias("hold"), "pos"))
+    every = [("STABILITY-GATED", float(spike), "-"), *[(m, float(t), str(h)) for m, ts in DETECTORS.items() for t in ts for h in HOLDS]]
+    grid = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(t).alias("thr"), F.lit(h).alias("hold")) for m, t, h in every])
+    wanted = truth.withColumn("g", F.explode(grid)).select(key, "g.mode", "g.thr", "g.hold", "pos")
+    s = tolerance_scores(found, wanted, [key, "mode", "thr", "hold"], tolerance)
+    scores = [F.bround(c, 3).alias(a) for c, a in (("precision", "prec"), ("recall", "rec"), ("f1", "f1"))]
+    return s.select(key, "mode", "thr", "hold", (F.col("n") + 1).alias("segs"), *scores).orderBy(F.desc("f1"), "mode", "thr", "hold")
