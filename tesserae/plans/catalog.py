@@ -399,7 +399,7 @@ def heard_titles(spark, d):
 
 def _reads(spark, d):
     li = _t(spark, d, "lineitem").join(_t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
-    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("ord"), F.col("p_name").alias("text"), (F.lit(1) - F.col("l_discount")).alias("conf"), F.lit(10.0).alias("x"), (F.col("l_linenumber") * 30.0).alias("y"), F.lit(100.0).alias("w"), F.lit(20.0).alias("h"))
+    return li.select(F.floor(F.col("l_orderkey") / 100).alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("p_name").alias("text"), (F.lit(1) - F.col("l_discount")).alias("conf"), (F.col("l_orderkey") % 100 * 200.0).alias("x"), (F.col("l_linenumber") * 30.0).alias("y"), F.lit(100.0).alias("w"), F.lit(20.0).alias("h"))
 
 
 @query()
@@ -431,10 +431,10 @@ def _boxes(spark, d):
 
 @query(f"""{_BOX}, k AS (SELECT * FROM b WHERE density >= 0.6 AND w * h / (1280 * 720) BETWEEN 0.012 AND 0.85 AND least(w, h) >= 120),
 s AS (SELECT seg, file, x, y, w, h FROM k WHERE w / h <= 1.15 UNION ALL SELECT seg, file, x, y, w // 2, h FROM k WHERE w / h > 1.15 UNION ALL SELECT seg, file, x + w // 2, y, w - w // 2, h FROM k WHERE w / h > 1.15)
-SELECT seg, file, x::BIGINT AS x, y, w::BIGINT AS w, h, round(w * h / (1280 * 720), 6) AS frame_frac, round(w / h, 6) AS ar FROM s""")
+SELECT seg, file, x::BIGINT AS x, y, w::BIGINT AS w, h, floor(w * h * 1000000 / 921600)::BIGINT AS frame_ppm, floor(w * 1000000 / h)::BIGINT AS ar_ppm FROM s""")
 def panel_filter(spark, d):
     p = spatial.keep_panels(_boxes(spark, d), F.lit(1280), F.lit(720))
-    exact = [F.round(F.col("w") * F.col("h") / (1280 * 720), 6).alias("frame_frac"), F.round(F.col("w") / F.col("h"), 6).alias("ar")]
+    exact = [F.floor(F.col("w") * F.col("h") * 1000000 / 921600).alias("frame_ppm"), F.floor(F.col("w") * 1000000 / F.col("h")).alias("ar_ppm")]  # engines round decimals apart
     return p.select("seg", "file", "x", "y", "w", "h", *exact)
 
 
