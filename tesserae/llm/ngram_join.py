@@ -95,10 +95,13 @@ def _slot(tokens: np.ndarray) -> np.ndarray:
     return (mix64(tokens.view(np.uint64)) % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def _order(tokens: np.ndarray, ranks: np.ndarray, seed: int) -> np.ndarray:
-    """Tokens in the seed's order: by rank of frequency, then by hash."""
+def _prefix(tokens: np.ndarray, p: int, ranks: np.ndarray, seed: int, ordered: bool = False) -> np.ndarray:
+    """The first p tokens in the seed's order: by rank of frequency, then by hash."""
     mixed = mix64(tokens.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & 0xFFFFFFFFFFFFFFFF))
-    return tokens[np.lexsort((mixed, ranks[_slot(tokens)]))]
+    place = ranks[_slot(tokens)].astype(np.uint64) << np.uint64(56) | mixed >> np.uint64(8)
+    if ordered:
+        return tokens[np.argsort(place, kind="stable")[:p]]
+    return tokens[np.argpartition(place, p - 1)[:p]] if p < len(tokens) else tokens
 
 
 def frequency_ranks(counts: np.ndarray) -> np.ndarray:
@@ -141,7 +144,7 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, ranks:
         for t in texts:
             x = shingles(t, size)
             p = prefix_length(len(x), percent)
-            tokens.append(_order(x, ranks, 0)[:p])
+            tokens.append(_prefix(x, p, ranks, 0, ordered=True))
             ids.append(np.full(p, _fingerprint(x)))
             ns.append(np.full(p, len(x)))
             places.append(np.arange(p))
@@ -168,7 +171,7 @@ def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int, ranks: n
         if key not in kept:
             x = shingles(unpack.decompress(packed), size)
             p = prefix_length(len(x), percent)
-            kept[key] = (x, [_order(x, ranks, seed)[:p] for seed in range(1, orders)])
+            kept[key] = (x, [_prefix(x, p, ranks, seed) for seed in range(1, orders)])
             if len(kept) > 64:
                 kept.popitem(last=False)
         return kept[key]
@@ -197,6 +200,8 @@ class _Join:
         self.ranks = frequency_ranks(counts)
         self.classes = self.sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"))
         self.texts = texts
+        # rows that stand more than once would give a class several texts
+        self.repeats = self.sets.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count() > 0
 
     def shared(self) -> DataFrame:
         """The prefix tokens that more than one row holds, each holder once."""
@@ -212,42 +217,52 @@ class _Join:
         rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
         return left.join(right, on).where((F.col("a") != F.col("b")) & (rest >= need)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def packed(self, shared: DataFrame) -> DataFrame:
+        """(set_id, packed): a compressed text of each holder, fetched once for all rounds."""
+        wanted = shared.select("set_id").distinct().join(self.classes, "set_id").select(F.col("class_id").alias("doc_id"), "set_id")
+        met = self.texts.mapInArrow(_packed, "doc_id long, packed binary").join(wanted, "doc_id").select("set_id", "packed")
+        return cut(met.dropDuplicates(["set_id"]) if self.repeats else met)
+
+    def links(self, pairs: DataFrame, packed: DataFrame) -> DataFrame:
         """The candidate pairs that link."""
-        pairs = cut(pairs.distinct())
-        wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-        wanted = wanted.join(self.classes, "set_id").select(F.col("class_id").alias("doc_id"), "set_id")
-        packed = self.texts.mapInArrow(_packed, "doc_id long, packed binary").join(wanted, "doc_id").select("set_id", "packed", "doc_id")
-        packed = cut(packed.dropDuplicates(["set_id"]))
-        both = pairs.join(packed.select(F.col("set_id").alias("a"), F.col("packed").alias("packed_a")), "a")
+        both = pairs.distinct().join(packed.select(F.col("set_id").alias("a"), F.col("packed").alias("packed_a")), "a")
         both = both.join(packed.select(F.col("set_id").alias("b"), F.col("packed").alias("packed_b")), "b")
-        return both.mapInArrow(functools.partial(_verify, size=self.size, percent=self.percent, ranks=self.ranks, orders=self.orders), "a long, b long")
+        return cut(both.mapInArrow(functools.partial(_verify, size=self.size, percent=self.percent, ranks=self.ranks, orders=self.orders), "a long, b long"))
+
+    def _pivots(self, many: DataFrame, by) -> DataFrame:
+        """Each holder of a token with the pivots of its own size and of the next smaller one."""
+        pivot = many.groupBy("token", "level").agg(F.min(F.struct(by.alias("h"), "set_id", "n", "place")).alias("p"))
+        pivot = pivot.select("token", "level", "p.set_id", "p.n", "p.place")
+        return self._pairs(many, pivot.union(pivot.select("token", F.col("level") + 1, "set_id", "n", "place")), ["token", "level"])
+
+    def _split(self, many: DataFrame, found: DataFrame) -> DataFrame:
+        """The holders of tokens that are held in two components or more, with their component."""
+        part = connected_components(found)
+        named = many.join(part.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+        return cut(named.join(split, "token"))
 
     def components(self) -> DataFrame:
         """(doc_id, n, component_id) of every row."""
         shared = self.shared()
+        packed = self.packed(shared)
         step = 100.0 / self.percent
         shared = shared.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step))))
         held = shared.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
         shared = shared.join(held, "token")
-        few, many = shared.where(F.col("k") <= FEW), shared.where(F.col("k") > FEW)
+        few, many = shared.where(F.col("k") <= FEW), cut(shared.where(F.col("k") > FEW).drop("k"))
         first = self._pairs(few, few, ["token"]).where("a < b")
-        # a token of many holders: each meets the pivots of its own size and of the next smaller one
-        pivot = many.groupBy("token", "level").agg(F.min(F.struct(F.xxhash64("set_id", "token").alias("h"), "set_id", "n", "place")).alias("p"))
-        pivot = pivot.select("token", "level", "p.set_id", "p.n", "p.place")
-        near = pivot.union(pivot.select("token", F.col("level") + 1, "set_id", "n", "place"))
-        found = cut(self.links(first.union(self._pairs(many, near, ["token", "level"]))))
-        part = connected_components(found)
-        # what is left: holders of a token that are not connected yet
-        named = many.join(part.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        named = cut(named.join(split, "token").select("token", "set_id", "n", "place", "component"))
-        left = named.select("token", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ca"))
-        right = named.select("token", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
+        # the same pivot for all tokens of a family, so that a member meets few pivots in all
+        found = self.links(first.union(self._pivots(many, F.col("set_id"))), packed)
+        left = self._split(many, found)
+        found = found.union(self.links(self._pivots(left, F.xxhash64("set_id")), packed))
+        # what is still apart: every pair of holders in two components
+        left = self._split(left.drop("component"), found)
+        sides = [left.select("token", F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("component").alias(f"c{x}")) for x in "ab"]
         need = F.ceil(F.lit(self.percent) * (F.col("na") + F.col("nb")) / F.lit(100 + self.percent))
         rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-        later = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (rest >= need)).select("a", "b")
-        found = found.union(self.links(later))
+        later = sides[0].join(sides[1], "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (rest >= need)).select("a", "b")
+        found = found.union(self.links(later, packed))
         part = connected_components(found)
         named = self.classes.join(part.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
