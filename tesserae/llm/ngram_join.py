@@ -151,10 +151,12 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, ranks:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (tokens, ids, ns, places)], names=["token", "set_id", "n", "place"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Compressed texts by doc_id, or by their set's fingerprint if a size is given."""
     press = zstandard.ZstdCompressor(level=1)
     for batch, texts in text_batches(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([press.compress(t) for t in texts], pa.binary())], names=["doc_id", "packed"])
+        key = batch.column("doc_id") if size is None else pa.array([_fingerprint(shingles(t, size)) for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([key, pa.array([press.compress(t) for t in texts], pa.binary())], names=["key", "packed"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -219,9 +221,12 @@ class _Join:
 
     def packed(self, shared: DataFrame) -> DataFrame:
         """(set_id, packed): a compressed text of each holder, fetched once for all rounds."""
-        wanted = shared.select("set_id").distinct().join(self.classes, "set_id").select(F.col("class_id").alias("doc_id"), "set_id")
-        met = self.texts.mapInArrow(_packed, "doc_id long, packed binary").join(wanted, "doc_id").select("set_id", "packed")
-        return cut(met.dropDuplicates(["set_id"]) if self.repeats else met)
+        wanted = shared.select("set_id").distinct()
+        if self.repeats:  # ids do not tell the texts apart
+            by_set = self.texts.mapInArrow(functools.partial(_packed, size=self.size), "key long, packed binary")
+            return cut(by_set.withColumnRenamed("key", "set_id").join(wanted, "set_id").dropDuplicates(["set_id"]))
+        wanted = wanted.join(self.classes, "set_id").select(F.col("class_id").alias("key"), "set_id")
+        return cut(self.texts.mapInArrow(_packed, "key long, packed binary").join(wanted, "key").select("set_id", "packed"))
 
     def links(self, pairs: DataFrame, packed: DataFrame) -> DataFrame:
         """The candidate pairs that link."""
