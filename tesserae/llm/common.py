@@ -76,6 +76,7 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     Alternates large and small stars: edges only ever shrink towards the minima, each round is two
     aggregations by id, and the links stay distributed. Each round is cut in the shared folder."""
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
     for _ in range(rounds):
         # large star: every larger neighbour of u goes to the least of u's neighbourhood
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -86,12 +87,11 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         small = cut(small)
-        changed = small.select(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
-        before = e.select(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
-        same = changed.first() == before.first()
+        now = small.select(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).first()
         e = small
-        if same:
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("components did not settle")
     out = e.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -260,9 +260,11 @@ class _Join:
         # the same pivot for all tokens of a family, so that a member meets few pivots in all
         found = self.links(first.union(self._pivots(many, F.col("set_id"))), packed)
         left = self._split(many, found)
-        found = found.union(self.links(self._pivots(left, F.xxhash64("set_id")), packed))
+        more = self.links(self._pivots(left, F.xxhash64("set_id")), packed)
+        found = found.union(more)
         # what is still apart: every pair of holders in two components
-        left = self._split(left.drop("component"), found)
+        if not more.isEmpty():
+            left = self._split(left.drop("component"), found)
         sides = [left.select("token", F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("component").alias(f"c{x}")) for x in "ab"]
         need = F.ceil(F.lit(self.percent) * (F.col("na") + F.col("nb")) / F.lit(100 + self.percent))
         rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
