@@ -505,9 +505,9 @@ def exports(spark, d):
     return export.ris(export.bibtex(e)).select("p_partkey", "bibtex", "ris")
 
 
-@query()
 def fused_report(spark, d):
-    """The whole fusion plan over shelves made of order lines, with the parts as catalogue."""
+    """The whole fusion plan over shelves made of order lines, with the parts as catalogue. Not registered:
+    it has not been seen to end on the smallest tables, and its result is not tested yet."""
     from .pipeline import Artifacts, compile_entries
 
     reads = _reads(spark, d)

@@ -122,7 +122,7 @@ def test_columns(spark):
     assert spatial.stitch(lines, "k").count() == 6
 
 
-SLOW = {"fused_report", "heard_titles"}
+SLOW = {"heard_titles", "verify_queue"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
