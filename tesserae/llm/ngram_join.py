@@ -26,7 +26,6 @@ class; an empty table gives no rows; other columns are left out."""
 
 from __future__ import annotations
 
-import collections
 import functools
 from collections.abc import Iterator
 
@@ -46,6 +45,8 @@ COUNTERS = 1 << 18
 BLOCK = 1 << 14
 #: Orders under which a pair has to share a prefix token.
 ORDERS = 3
+#: Bytes of short texts that are read together.
+GROUP = 1 << 17
 #: A token with up to so many holders gives all pairs at once.
 FEW = 6
 _SPACE = np.zeros(256, bool)
@@ -57,34 +58,61 @@ _BASE = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _BASE)]))
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base, and of its inverse modulo 2^64."""
+    first = np.ones(1, np.uint64)
+    return tuple(np.cumprod(np.concatenate([first, np.full(n - 1, b, np.uint64)])) for b in (_BASE, pow(int(_BASE), -1, 1 << 64)))
 
 
-def shingles(text: bytes, size: int) -> np.ndarray:
-    """Sorted distinct fingerprints of the n-grams of lower-cased words."""
-    raw = _LOWER[np.frombuffer(text, np.uint8)]
+def _hashed(words: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of the runs of n words."""
+    count = len(words) - n + 1
+    h = np.full(count, np.uint64(n))
+    for i in range(n):
+        h = h * _STEP + words[i : count + i]
+    return mix64(h).view(np.int64)
+
+
+def _group_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    raw = _LOWER[np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)]
     word = ~_SPACE[raw]
-    edge = np.diff(word.astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(start):
-        return np.zeros(0, np.int64)
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
     # a word's fingerprint: the sum of its bytes' codes times powers of their places
-    longest = int((end - start).max())
-    power = _powers(max(256, 1 << (longest - 1).bit_length()))
-    place = np.arange(len(raw)) - np.repeat(start, np.diff(np.r_[start, len(raw)])) if not start[0] else None
-    if place is None:
-        raw, word = raw[start[0] :], word[start[0] :]
-        start, end = start - start[0], end - start[0]
-        place = np.arange(len(raw)) - np.repeat(start, np.diff(np.r_[start, len(raw)]))
-    value = np.where(word, _CODE[raw] * power[np.minimum(place, len(power) - 1)], np.uint64(0))
-    w = mix64(np.add.reduceat(value, start) + (end - start).astype(np.uint64))
-    n = min(size, len(w))
-    h = np.full(len(w) - n + 1, np.uint64(n))
-    for i in range(n):
-        h = mix64(h * _STEP + w[i : len(w) - n + 1 + i])
-    return np.unique(h.view(np.int64))
+    n = len(raw)
+    power, inverse = _powers(max(2 * GROUP, 1 << n.bit_length()))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_CODE[raw] * power[:n], out=sums[1:])
+    words = mix64((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    grams = _hashed(words, size) if len(words) >= size else None
+    begins = np.cumsum([1] + [len(t) + 1 for t in texts])
+    bounds = np.searchsorted(start, begins).tolist()
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        x = grams[lo : hi - size + 1] if hi - lo >= size else _hashed(words[lo:hi], hi - lo) if hi > lo else np.zeros(0, np.int64)
+        x = np.sort(x)
+        yield x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Sorted distinct fingerprints of each text's n-grams of lower-cased words. Short texts are read
+    in groups, as most of the time would go to calls otherwise."""
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+    total = 0
+    for t in texts:
+        if group and total + len(t) > GROUP:
+            out.extend(_group_sets(group, size))
+            group, total = [], 0
+        group.append(t)
+        total += len(t) + 1
+    if group:
+        out.extend(_group_sets(group, size))
+    return out
+
+
+def shingles(text: bytes, size: int) -> np.ndarray:
+    return shingle_sets([text], size)[0]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -123,7 +151,7 @@ def _scan(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     names = ["doc_id", "n", "set_id", "block", "counts"]
     total = np.zeros(COUNTERS, np.int32)
     for batch, texts in text_batches(batches, "text"):
-        sets = [shingles(t, size) for t in texts]
+        sets = shingle_sets(texts, size)
         total += np.bincount(_slot(np.concatenate(sets)), minlength=COUNTERS).astype(np.int32)
         n = len(sets)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) for x in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
@@ -141,8 +169,7 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, ranks:
     """(token, set_id, n, place): the prefixes under the first order."""
     for _, texts in text_batches(batches, "text", 1_000_000):
         tokens, ids, ns, places = [], [], [], []
-        for t in texts:
-            x = shingles(t, size)
+        for x in shingle_sets(texts, size):
             p = prefix_length(len(x), percent)
             tokens.append(_prefix(x, p, ranks, 0, ordered=True))
             ids.append(np.full(p, _fingerprint(x)))
@@ -155,35 +182,51 @@ def _packed(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Itera
     """Compressed texts by doc_id, or by their set's fingerprint if a size is given."""
     press = zstandard.ZstdCompressor(level=1)
     for batch, texts in text_batches(batches, "text"):
-        key = batch.column("doc_id") if size is None else pa.array([_fingerprint(shingles(t, size)) for t in texts], pa.int64())
+        key = batch.column("doc_id") if size is None else pa.array([_fingerprint(x) for x in shingle_sets(texts, size)], pa.int64())
         yield pa.RecordBatch.from_arrays([key, pa.array([press.compress(t) for t in texts], pa.binary())], names=["key", "packed"])
 
 
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")  # merges two runs
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = _overlap(a, b)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int, ranks: np.ndarray, orders: int) -> Iterator[pa.RecordBatch]:
     """The pairs that share a prefix token under every further order and link."""
     unpack = zstandard.ZstdDecompressor()
-    kept: collections.OrderedDict[int, tuple[np.ndarray, list[np.ndarray]]] = collections.OrderedDict()
+    kept: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
 
-    def read(key: int, packed: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-        if key not in kept:
-            x = shingles(unpack.decompress(packed), size)
+    def checked(rows: list[tuple[int, int, bytes, bytes]]) -> list[tuple[int, int]]:
+        missing = {key: packed for a, b, za, zb in rows for key, packed in ((a, za), (b, zb)) if key not in kept}
+        for key, x in zip(missing, shingle_sets([unpack.decompress(z) for z in missing.values()], size), strict=True):
             p = prefix_length(len(x), percent)
-            kept[key] = (x, [_prefix(x, p, ranks, seed) for seed in range(1, orders)])
-            if len(kept) > 64:
-                kept.popitem(last=False)
-        return kept[key]
+            kept[key] = (x, [np.sort(_prefix(x, p, ranks, seed)) for seed in range(1, orders)])
+        good = []
+        for a, b, _, _ in rows:
+            (x, px), (y, py) = kept[a], kept[b]
+            if all(_overlap(p, q) for p, q in zip(px, py, strict=True)) and linked(x, y, percent):
+                good.append((a, b))
+        last = {key: kept[key] for key in rows[-1][:2]}
+        kept.clear()
+        kept.update(last)
+        return good
 
     for batch in batches:
-        out = []
-        for a, b, za, zb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "packed_a", "packed_b")), strict=True):
-            (x, px), (y, py) = read(a, za), read(b, zb)
-            if all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(px, py, strict=True)) and linked(x, y, percent):
-                out.append((a, b))
+        out, rows, total = [], [], 0
+        for row in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "packed_a", "packed_b")), strict=True):
+            rows.append(row)
+            total += len(row[2]) + len(row[3])
+            if total > 1_000_000:
+                out += checked(rows)
+                rows, total = [], 0
+        if rows:
+            out += checked(rows)
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
