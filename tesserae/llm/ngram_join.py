@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, mix64, table, text_batches
+from .common import connected_components, cut, mix64, shelve, table, text_batches
 
 SIZE = 4
 PERCENT = 85
@@ -251,8 +251,11 @@ class _Join:
     def shared(self) -> DataFrame:
         """The prefix tokens that more than one row holds, each holder once."""
         postings = self.texts.mapInArrow(functools.partial(_postings, size=self.size, percent=self.percent, ranks=self.ranks), "token long, set_id long, n long, place long")
+        postings, drop = shelve(postings)  # read twice; the texts are not
         tokens = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-        return cut(postings.join(tokens, "token").distinct())
+        out = cut(postings.join(tokens, "token").distinct())
+        drop()
+        return out
 
     def _pairs(self, a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
         """Pairs that meet and whose sizes and places leave enough tokens to share."""
@@ -283,13 +286,18 @@ class _Join:
         pivot = pivot.select("token", "level", "p.set_id", "p.n", "p.place")
         return self._pairs(many, pivot.union(pivot.select("token", F.col("level") + 1, "set_id", "n", "place")), ["token", "level"])
 
-    def _split(self, many: DataFrame, found: DataFrame) -> DataFrame:
+    def _split(self, many: DataFrame, part: DataFrame) -> DataFrame:
         """The holders of tokens that are held in two components or more, with their component."""
-        part = connected_components(found)
         named = many.join(part.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
         return cut(named.join(split, "token"))
 
+    def _joined(self, part: DataFrame, links: DataFrame) -> DataFrame:
+        """The components of `part` after more links; what is joined already is not worked out again."""
+        if links.isEmpty():
+            return part
+        return connected_components(part.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+
     def components(self) -> DataFrame:
         """(doc_id, n, component_id) of every row."""
         shared = self.shared()
@@ -301,19 +309,18 @@ class _Join:
         few, many = shared.where(F.col("k") <= FEW), cut(shared.where(F.col("k") > FEW).drop("k"))
         first = self._pairs(few, few, ["token"]).where("a < b")
         # the same pivot for all tokens of a family, so that a member meets few pivots in all
-        found = self.links(first.union(self._pivots(many, F.col("set_id"))), packed)
-        left = self._split(many, found)
+        part = connected_components(self.links(first.union(self._pivots(many, F.col("set_id"))), packed))
+        left = self._split(many, part)
         more = self.links(self._pivots(left, F.xxhash64("set_id")), packed)
-        found = found.union(more)
         # what is still apart: every pair of holders in two components
         if not more.isEmpty():
-            left = self._split(left.drop("component"), found)
+            part = self._joined(part, more)
+            left = self._split(left.drop("component"), part)
         sides = [left.select("token", F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("component").alias(f"c{x}")) for x in "ab"]
         need = F.ceil(F.lit(self.percent) * (F.col("na") + F.col("nb")) / F.lit(100 + self.percent))
         rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
         later = sides[0].join(sides[1], "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (rest >= need)).select("a", "b")
-        found = found.union(self.links(later, packed))
-        part = connected_components(found)
+        part = self._joined(part, self.links(later, packed))
         named = self.classes.join(part.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
         named = named.join(least, "component").select("set_id", "component_id")
