@@ -49,6 +49,9 @@ ORDERS = 3
 GROUP = 1 << 17
 #: A token with up to so many holders gives all pairs at once.
 FEW = 6
+#: Pivots a token of many holders has in each later round. Members of a family that link with few of
+#: the others find one of them among ever more pivots; what is connected then needs no more pairs.
+PIVOTS = (8, 24, 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -259,11 +262,13 @@ class _Join:
 
     def _pairs(self, a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
         """Pairs that meet and whose sizes and places leave enough tokens to share."""
-        left = a.select(*on, F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-        right = b.select(*on, F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+        known = [[F.col("component").alias(f"c{x}")] if "component" in a.columns else [] for x in "ab"]
+        left = a.select(*on, F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), *known[0])
+        right = b.select(*on, F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), *known[1])
         need = F.ceil(F.lit(self.percent) * (F.col("na") + F.col("nb")) / F.lit(100 + self.percent))
         rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-        return left.join(right, on).where((F.col("a") != F.col("b")) & (rest >= need)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        apart = F.col("ca") != F.col("cb") if known[0] else F.col("a") != F.col("b")
+        return left.join(right, on).where(apart & (rest >= need)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def packed(self, shared: DataFrame) -> DataFrame:
         """(set_id, packed): a compressed text of each holder, fetched once for all rounds."""
@@ -280,11 +285,14 @@ class _Join:
         both = both.join(packed.select(F.col("set_id").alias("b"), F.col("packed").alias("packed_b")), "b")
         return cut(both.mapInArrow(functools.partial(_verify, size=self.size, percent=self.percent, ranks=self.ranks, orders=self.orders), "a long, b long"))
 
-    def _pivots(self, many: DataFrame, by) -> DataFrame:
-        """Each holder of a token with the pivots of its own size and of the next smaller one."""
-        pivot = many.groupBy("token", "level").agg(F.min(F.struct(by.alias("h"), "set_id", "n", "place")).alias("p"))
-        pivot = pivot.select("token", "level", "p.set_id", "p.n", "p.place")
-        return self._pairs(many, pivot.union(pivot.select("token", F.col("level") + 1, "set_id", "n", "place")), ["token", "level"])
+    def _pivots(self, many: DataFrame, by, among: DataFrame | None = None, number: int = 1) -> DataFrame:
+        """The holders of tokens, or those `among` them, each with the pivots of its own size and of the
+        next smaller one; where components are known, only those of another component. A token has a
+        `number` of pivots: the least holder of each of so many buckets."""
+        bucket = F.pmod(F.xxhash64("set_id", F.lit(number)), F.lit(number)).alias("bucket")
+        pivot = many.groupBy("token", "level", bucket).agg(F.min(F.struct(by.alias("h"), *[c for c in many.columns if c not in ("token", "level")])).alias("p"))
+        pivot = pivot.select("token", "level", "p.*").drop("h")
+        return self._pairs(among or many, pivot.unionByName(pivot.withColumn("level", F.col("level") + 1)), ["token", "level"])
 
     def _split(self, many: DataFrame, part: DataFrame) -> DataFrame:
         """The holders of tokens that are held in two components or more, with their component."""
@@ -306,16 +314,21 @@ class _Join:
         shared = shared.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step))))
         held = shared.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
         shared = shared.join(held, "token")
-        few, many = shared.where(F.col("k") <= FEW), cut(shared.where(F.col("k") > FEW).drop("k"))
+        few, many = shared.where(F.col("k") <= FEW), cut(shared.where(F.col("k") > FEW))
         first = self._pairs(few, few, ["token"]).where("a < b")
-        # the same pivot for all tokens of a family, so that a member meets few pivots in all
-        part = connected_components(self.links(first.union(self._pivots(many, F.col("set_id"))), packed))
+        # at first only by its commonest token, so that a member of a family meets one or two pivots
+        best = many.groupBy("set_id").agg(F.max_by(F.struct("token", "level", "n", "place"), F.struct("k", "token")).alias("t")).select("set_id", "t.*")
+        many = many.drop("k")
+        part = connected_components(self.links(first.union(self._pivots(many, F.col("set_id"), best)), packed))
         left = self._split(many, part)
-        more = self.links(self._pivots(left, F.xxhash64("set_id")), packed)
+        for number in PIVOTS:
+            if left.isEmpty():
+                break
+            more = self.links(self._pivots(left, F.xxhash64("set_id", F.lit(number)), number=number), packed)
+            if not more.isEmpty():
+                part = self._joined(part, more)
+                left = self._split(left.drop("component"), part)
         # what is still apart: every pair of holders in two components
-        if not more.isEmpty():
-            part = self._joined(part, more)
-            left = self._split(left.drop("component"), part)
         sides = [left.select("token", F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("component").alias(f"c{x}")) for x in "ab"]
         need = F.ceil(F.lit(self.percent) * (F.col("na") + F.col("nb")) / F.lit(100 + self.percent))
         rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
