@@ -190,21 +190,32 @@ def bibliography_entries(spark, d):
 
 
 def _segments(spark, d):
-    return _t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.lit(0).alias("seq"), F.lit(0.0).alias("start"), "text")
+    return _t(spark, d, "documents").select("doc_id", F.lit(0).alias("seq"), F.lit(0.0).alias("start"), "text", "lang")
 
 
 @query()
 def title_ngrams(spark, d):
+    """Of all documents, in every language."""
     return mining.title_candidates(_segments(spark, d))
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^ -~]', 'x', 'g'), '\\b([A-Z][a-z]{2,})\\b', 1)) AS word FROM documents WHERE lang = 'en') SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY 1""")
 def proper_nouns(spark, d):
+    """Of the English documents, which its SQL has; proper_nouns_all has all."""
+    return _proper_nouns(_segments(spark, d).where("lang = 'en'"))
+
+
+def _proper_nouns(docs):
     plain = F.regexp_replace("text", "[^ -~]", "x")  # word boundaries differ between engines elsewhere
-    w = _segments(spark, d).select("doc_id", F.explode(X.proper_nouns(plain)).alias("word"))
+    w = docs.select("doc_id", F.explode(X.proper_nouns(plain)).alias("word"))
     return w.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^ -~]', 'x', 'g'), '\\b([A-Z][a-z]{2,})\\b', 1)) AS word FROM documents) SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY 1""")
+def proper_nouns_all(spark, d):
+    return _proper_nouns(_segments(spark, d))
+
+
 _TOK = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+')), lambda x: length(x) > 3 AND NOT list_contains(['the','and','for','with','from','who','how','why','what','when','their','its','our','are','was','were','been','being','have','has','had','other','else','into','about','than','then','them'], x))"
 
 
@@ -215,11 +226,25 @@ m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item
 SELECT d.doc_id, coalesce(score >= 0.45, false) AS cited, round_even(coalesce(score, 0), 2) AS match_score, md5(CASE WHEN score >= 0.45 THEN b.text END) AS match
 FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id AND r = 1 LEFT JOIN benchmark b USING (item_id) WHERE lang = 'en' AND n_chars < 800""")
 def overlap_join(spark, d):
-    shown = _t(spark, d, "documents").where("lang = 'en' AND n_chars < 800").select(F.col("doc_id").alias("id"), "text")
-    c = evidence.cite(shown, _t(spark, d, "benchmark").select(F.col("item_id").alias("entry"), "text"))
+    """Of the short English documents, which its SQL has; overlap_join_all has all."""
+    return _cited(spark, d, _t(spark, d, "documents").where("lang = 'en' AND n_chars < 800"))
+
+
+def _cited(spark, d, docs):
+    c = evidence.cite(docs.select(F.col("doc_id").alias("id"), "text"), _t(spark, d, "benchmark").select(F.col("item_id").alias("entry"), "text"))
     return c.select(F.col("id").alias("doc_id"), "cited", "match_score", F.md5(F.col("match").cast("binary")).alias("match"))
 
 
+@query(f"""WITH a AS (SELECT doc_id, unnest(t) AS tok, len(t) AS n FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)),
+b AS (SELECT item_id, unnest(t) AS tok, len(t) AS n FROM (SELECT item_id, {_TOK.format('text')} AS t FROM benchmark)),
+s AS (SELECT doc_id, item_id, count(*) / least(a.n, b.n) AS score FROM a JOIN b USING (tok) GROUP BY doc_id, item_id, a.n, b.n),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS r FROM s)
+SELECT d.doc_id, coalesce(score >= 0.45, false) AS cited, round_even(coalesce(score, 0), 2) AS match_score, md5(CASE WHEN score >= 0.45 THEN b.text END) AS match
+FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id AND r = 1 LEFT JOIN benchmark b USING (item_id)""")
+def overlap_join_all(spark, d):
+    return _cited(spark, d, _t(spark, d, "documents"))
+
+
 @query("""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM conversations), s AS (SELECT * FROM t WHERE text <> ''),
 p AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM s), n AS (SELECT conv_id, turn, trim(CASE WHEN b IS NOT NULL AND starts_with(text, b) THEN substr(text, length(b) + 1) ELSE text END) AS text FROM p)
 SELECT conv_id, turn, md5(text) AS text FROM n WHERE text <> ''""")
@@ -384,7 +409,16 @@ def verify_queue(spark, d):
 @query("""SELECT DISTINCT doc_id, w AS phrase FROM documents, (VALUES ('the'), ('of ')) p(w) WHERE lang = 'en' AND regexp_matches(lower(text), '\\b(book|books|memoir|essay|writes|wrote|writing|author|read|reading|published|publication|chapter|title|titled|called|edition|press|argues|says|said|footnote|bibliography|cite|cites|monograph)\\b') AND contains(lower(text), w)
  AND len(list_filter(range(1, length(text)::BIGINT), lambda i: substr(lower(text), i, length(w)) = w AND regexp_matches(substr(lower(text), greatest(i - 80, 1), 80 + length(w) + least(i - 1, 80)), '(^|[^a-z])(book|books|memoir|essay|writes|wrote|writing|author|read|reading|published|publication|chapter|title|titled|called|edition|press|argues|says|said|footnote|bibliography|cite|cites|monograph)([^a-z]|$)'))) > 0""")
 def book_context(spark, d):
-    s = _segments(spark, d)
+    """Of the English documents, which its SQL has; book_context_all has all."""
+    return _book_context(_segments(spark, d).where("lang = 'en'"))
+
+
+@query()
+def book_context_all(spark, d):
+    return _book_context(_segments(spark, d))
+
+
+def _book_context(s):
     p = s.select("doc_id", F.explode(F.array(F.lit("the"), F.lit("of "))).alias("phrase"))
     return mining.in_context(p, s)
 

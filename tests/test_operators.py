@@ -1,6 +1,7 @@
 """Expected behaviour of the relational operators and kernels on small inputs."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -144,3 +145,24 @@ def test_jaro_agrees_with_another_engine():
     con = duckdb.connect()
     for a, b in pairs:
         assert K.jaro_winkler(a, b) == pytest.approx(con.execute("SELECT jaro_winkler_similarity(?, ?)", [a, b]).fetchall()[0][0], abs=1e-9)
+
+
+def documents(spark, tmp_path, rows):
+    """A folder with a documents table of (doc_id, text, lang, n_chars)."""
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_all_documents_are_cited_and_mined(spark, tmp_path):
+    long = "x " * 500 + "The river Orinoco carries sediment eastwards"
+    rows = [(1, long, "en", len(long)), (2, "river orinoco sediment", "fr", 22), (3, "river orinoco sediment", "en", None), (4, None, None, None), (5, "nothing alike", "en", 13), (6, "He wrote of Facing Reality in his book about the war.", "fr", 53)]
+    d = documents(spark, tmp_path, rows)
+    entries = [(7, "river orinoco sediment"), (8, "orinoco delta channel floods")]
+    spark.createDataFrame(entries, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    words = lambda t: {w for w in re.findall("[a-z0-9]+", (t or "").lower()) if len(w) > 3}
+    score = {i: max(((len(words(t) & words(e)) / min(len(words(t)), len(words(e))), -n) for n, e in entries), default=(0.0, 0)) if words(t) else (0.0, 0) for i, t, *_ in rows}
+    got = {r["doc_id"]: (r["cited"], r["match_score"]) for r in catalog.QUERIES["overlap_join_all"](spark, d).collect()}
+    assert got == {i: (s >= 0.45, round(s, 2)) for i, (s, _) in score.items()} and [i for i in got if got[i][0]] and {1, 2, 3} <= {i for i in got if got[i][0]}
+    assert {(r["doc_id"], r["phrase"]) for r in catalog.QUERIES["title_ngrams"](spark, d).collect()} == {(6, "Facing Reality")}
+    assert {"Facing", "Reality", "Orinoco"} <= {r["word"] for r in catalog.QUERIES["proper_nouns_all"](spark, d).where("n > 0").collect()}
+    assert {(r["doc_id"], r["phrase"]) for r in catalog.QUERIES["book_context_all"](spark, d).collect()} == {(6, "of "), (6, "the")}
