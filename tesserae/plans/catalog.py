@@ -425,10 +425,10 @@ def _book_context(s):
 
 @query()
 def heard_titles(spark, d):
+    """Title candidates of each document among all its lines, whole."""
     docs = _segments(spark, d)
-    c = docs.select("doc_id", F.col("doc_id").cast("string").alias("id"), F.substring(F.col("text"), 20, 24).alias("text"), F.lit("spine").alias("source"), F.lit(None).cast("double").alias("ar"))
-    s = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "text")).where(F.length("text") < 400)
-    return evidence.hear(c, s).select("doc_id", "heard", "heard_as", "heard_score")
+    c = mining.title_candidates(docs).select("doc_id", F.col("phrase").alias("id"), F.col("phrase").alias("text"), F.when(F.length("phrase").between(6, 40), "spine").otherwise("cover").alias("source"), F.lit(0.7).alias("ar"))
+    return evidence.hear(c, _lines(spark, d)).select("doc_id", F.col("id").alias("phrase"), "heard", "heard_as", "heard_score")
 
 
 def _reads(spark, d):

@@ -166,3 +166,10 @@ def test_all_documents_are_cited_and_mined(spark, tmp_path):
     assert {(r["doc_id"], r["phrase"]) for r in catalog.QUERIES["title_ngrams"](spark, d).collect()} == {(6, "Facing Reality")}
     assert {"Facing", "Reality", "Orinoco"} <= {r["word"] for r in catalog.QUERIES["proper_nouns_all"](spark, d).where("n > 0").collect()}
     assert {(r["doc_id"], r["phrase"]) for r in catalog.QUERIES["book_context_all"](spark, d).collect()} == {(6, "of "), (6, "the")}
+
+
+def test_titles_are_heard_in_long_lines(spark, tmp_path):
+    long = "we spoke " * 60 + "and then of Facing Reality at some length"
+    rows = [(1, f"{long}\nshort line", "en", len(long)), (2, "one line\nil a lu The Ethnic Dilemma of Nations hier", "fr", 51), (3, None, None, None)]
+    got = catalog.QUERIES["heard_titles"](spark, documents(spark, tmp_path, rows)).collect()
+    assert {(r["doc_id"], r["phrase"]) for r in got if r["heard"] and r["heard_score"] >= 0.9} == {(1, "Facing Reality"), (2, "The Ethnic Dilemma of Nations")}
