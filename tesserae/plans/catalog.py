@@ -318,7 +318,7 @@ def string_kernels(spark, d):
 @query()
 def fused_words(spark, d):
     w = _t(spark, d, "part").select(F.upper(F.regexp_replace("p_name", " ", "")).alias("token"), "p_name").distinct()
-    words = [r[0] for r in w.select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct().limit(1000).collect()]
+    words = [r[0] for r in w.select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct().collect()]
     return w.select("token", K.split_fused_udf(words)("token").alias("parts"))
 
 
@@ -359,10 +359,24 @@ def catalog_fallback(spark, d):
 @query("""WITH p AS (SELECT DISTINCT p_name AS phrase, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS n FROM part), s AS (SELECT DISTINCT regexp_replace(lower(substr(p_name, 1, 5)), '[^a-z0-9]', '', 'g') AS s FROM part WHERE p_partkey < 6)
 SELECT phrase FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE contains(s.s, p.n) OR contains(p.n, s.s))""")
 def serial_veto(spark, d):
+    """Against the few short names its SQL has; serial_veto_all has whole names of a whole table."""
     part = _t(spark, d, "part")
     return resolve.without_serials(part.select(F.col("p_name").alias("phrase")).distinct(), part.where("p_partkey < 6").select(F.substring("p_name", 1, 5).alias("container")))
 
 
+_VETO_PHRASES = "SELECT p_name AS phrase FROM part UNION SELECT substr(s_name, 10, 1000) FROM supplier UNION SELECT p_name || ' ' || s_name FROM part JOIN supplier ON p_partkey = s_suppkey UNION SELECT c_name FROM customer"
+
+
+@query(f"""WITH p AS (SELECT phrase, regexp_replace(lower(phrase), '[^a-z0-9]', '', 'g') AS n FROM ({_VETO_PHRASES})), s AS (SELECT DISTINCT regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS s FROM supplier)
+SELECT phrase FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.s <> '' AND p.n <> '' AND (contains(s.s, p.n) OR contains(p.n, s.s)))""")
+def serial_veto_all(spark, d):
+    """Whole names of all suppliers as serials; parts, customers, pieces of suppliers' names and names around them as phrases."""
+    part, supplier, customer = (_t(spark, d, n) for n in ("part", "supplier", "customer"))
+    around = part.join(supplier, F.col("p_partkey") == F.col("s_suppkey")).select(F.concat_ws(" ", "p_name", "s_name"))
+    phrases = part.select(F.col("p_name").alias("phrase")).union(supplier.select(F.substring("s_name", 10, 1000))).union(around).union(customer.select("c_name")).distinct()
+    return resolve.without_serials(phrases, supplier.select(F.col("s_name").alias("container")))
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY lower(p_name), p_size ORDER BY p_partkey) AS n FROM part) SELECT p_partkey AS seq, p_name AS title FROM r WHERE n = 1""")
 def catalog_seed(spark, d):
     p = _t(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("title"), F.array(F.lit("A")).alias("author_name"), (F.lit(1900) + F.col("p_size")).alias("first_publish_year"))

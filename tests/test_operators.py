@@ -173,3 +173,21 @@ def test_titles_are_heard_in_long_lines(spark, tmp_path):
     rows = [(1, f"{long}\nshort line", "en", len(long)), (2, "one line\nil a lu The Ethnic Dilemma of Nations hier", "fr", 51), (3, None, None, None)]
     got = catalog.QUERIES["heard_titles"](spark, documents(spark, tmp_path, rows)).collect()
     assert {(r["doc_id"], r["phrase"]) for r in got if r["heard"] and r["heard_score"] >= 0.9} == {(1, "Facing Reality"), (2, "The Ethnic Dilemma of Nations")}
+
+
+def test_serials_by_index_are_those_by_comparison(spark, tmp_path):
+    r = random.Random(3)
+    text = lambda k: "".join(r.choices("ab -", k=k))
+    p, s = [text(r.randint(0, 9)) for _ in range(80)] + [None, "x", "Annals of Nature 9"], [text(r.randint(4, 12)) for _ in range(8)] + ["Nature", "", None]
+    norm = lambda t: re.sub("[^a-z0-9]", "", t.lower()) if t is not None else None
+    free = lambda x: not x or not any(n and (n in x or x in n) for n in map(norm, s))
+    got = resolve.without_serials(spark.createDataFrame([(x,) for x in p], "phrase string"), spark.createDataFrame([(x,) for x in s], "container string"))
+    assert sorted(x["phrase"] or "" for x in got.collect()) == sorted(x or "" for x in p if free(norm(x)))
+    assert "NestedLoop" not in got._jdf.queryExecution().optimizedPlan().toString() and "contains" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_fused_words_know_all_words(spark, tmp_path):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3)) + "q"
+    spark.createDataFrame([(i, f"{name(2 * i)} {name(2 * i + 1)}") for i in range(700)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = catalog.QUERIES["fused_words"](spark, str(tmp_path)).collect()
+    assert len(got) == 700 and all(r["parts"] is not None for r in got)
