@@ -1,7 +1,7 @@
 """Operator 8: secret scans, with a random forest that removes false positives.
 
-A pattern over the whole text finds candidates: long runs of key characters that hold a digit, and
-values assigned to words such as `token` or `password`. A random forest (bagged Gini trees, in numpy)
+A pattern over the whole text finds candidates: long runs of key characters that hold a digit, both
+cases or a known key's prefix, and values assigned to names that hold `token`, `password` and the like. A random forest (bagged Gini trees, in numpy)
 judges each by its length, its character transitions (how letters, digits and cases alternate, and a
 bigram model's surprise), the share of it that dictionary words cover, its surroundings (path or
 address characters) and the neighbouring words.
@@ -31,22 +31,54 @@ from .common import table, text_batches
 
 #: Runs of at least 16 key characters, or 6 and more characters that are assigned to a telling name.
 _RUN = re.compile(r"[A-Za-z0-9+/=_\-]{16,}")
-_ASSIGNED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|auth|credential)s?[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"'<>,;]{6,})")
-_KEYS = ("pass", "pwd", "secret", "token", "api", "auth", "credential")
-_DIGIT = re.compile(r"[0-9]")
+#: A name is telling if it holds such a word; what stands after the word in the name is its suffix.
+_WORD = re.compile(r"(?i)passw(?:or)?d|passphrase|pwd|secret|token|(?:api|access|private|encryption|signing)[_-]?key|auth|credential")
+_SUFFIX = re.compile(r"[\w.\-]*")
+_VALUE = re.compile(r"[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"'<>,;]{6,})")
+_KEYS = ("pass", "pwd", "secret", "token", "key", "auth", "credential")
+_PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[_-]|pk_|rk_|AIza|glpat-|eyJ|ya29")
+_DIGIT, _LOWER, _UPPER = re.compile(r"[0-9]"), re.compile(r"[a-z]"), re.compile(r"[A-Z]")
 CONTEXT = 48
-TELLING = frozenset("password passwd pwd secret token apikey key auth authorization bearer credential credentials private access aws".split())
+TELLING = frozenset("password passphrase passwd pwd secret token apikey key auth authorization bearer credential credentials private access aws".split())
 HARMLESS = frozenset("commit sha sha1 sha256 md5 checksum hash digest uuid guid etag revision version build card isbn phone order invoice ticket example sample placeholder dummy test mail url http https href src image page path file".split())
 #: Common words that identifiers are made of.
 WORDS = tuple("the and for with that this from have not are was get set value name user data file list item index page link image button class method return string number object array input output config default request response error message event handler service client server controller manager factory builder example sample placeholder your here token secret password key change replace insert test demo open close read write update delete create select table column row time date version build release module package path home root admin account login session cookie header footer content title description color font size width height style script".split())
 MASK = "[SECRET]"
 
 
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values assigned to telling names; each character is read a few times at most."""
+    m = _WORD.search(text)
+    while m:
+        at = _SUFFIX.match(text, m.end()).end()
+        if v := _VALUE.match(text, at):
+            yield v.span(1)
+            at = v.end()
+        m = _WORD.search(text, at)
+
+
+def _key_like(text: str, s: int, e: int) -> bool:
+    """Whether a run holds a digit, both cases or a known key's prefix at a place where one can begin."""
+    if _DIGIT.search(text, s, e) or _LOWER.search(text, s, e) and _UPPER.search(text, s, e):
+        return True
+    return any(m.start() == s or not text[m.start() - 1].isalnum() for m in _PREFIX.finditer(text, s, e))
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of the candidates, in order, none inside another."""
     low = text.lower()
-    found = [m.span(1) for m in _ASSIGNED.finditer(text)] if any(k in low for k in _KEYS) else []
-    found += [m.span() for m in _RUN.finditer(text) if _DIGIT.search(text, *m.span())]
+    found = list(_assigned(text)) if any(k in low for k in _KEYS) else []
+    # a run that holds a name and its value is two: the value is judged without its name
+    starts, at = [s for s, _ in found], 0
+    for m in _RUN.finditer(text):
+        s, e = m.span()
+        while at < len(starts) and starts[at] < e:
+            if starts[at] > s:
+                found += [(s, starts[at])] if starts[at] - s >= 16 and _key_like(text, s, starts[at]) else []
+                s = starts[at]
+            at += 1
+        if _key_like(text, s, e) and (e - s >= 16 or s == m.start()):
+            found.append((s, e))
     out: list[tuple[int, int]] = []
     for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
         if out and s < out[-1][1]:
@@ -107,7 +139,7 @@ def describe(before: str, value: str, after: str) -> list[float]:
         float(any(w in TELLING for w in last)),
         float(any(w in HARMLESS for w in near)),
         float(any(w in HARMLESS for w in last)),
-        float(re.match(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[_-]|pk_|rk_|AIza|glpat-|eyJ|ya29", value) is not None),
+        float(_PREFIX.match(value) is not None),
         float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None),
         float(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value) is not None),
     ]
@@ -158,6 +190,28 @@ def labelled_findings(n: int = 4000, seed: int = 8) -> list[tuple[str, str, str,
         else:
             value = "".join(syllable() for _ in range(r.randint(5, 9))) + pick(string.digits, r.randint(1, 4))
         out.append((before, value, " " + prose(), 0))
+    # the same without digits, from a generator of their own
+    r = random.Random(seed + 1)
+    plain = lambda f: re.sub("[0-9]", lambda _: r.choice(string.ascii_uppercase), f())
+    names = ("secret_key", "db_password_prod", "access_key", "passphrase", "auth_token_v", "client_secret_live")
+    for _ in range(n // 8):
+        if r.random() < 0.5:
+            before, value = r.choice((prose() + " ", assign(r.choice(names)), "")), plain(r.choice(formats))
+        else:
+            before, value = assign(r.choice(names)), r.choice((plain(r.choice(opaque)), pick(alnum, r.randint(8, 15)), pick(string.ascii_letters, r.randint(8, 40))))
+        out.append((before, value, r.choice((" ", '"', "'", ".", "\n", "")) + " " + prose(), 1))
+        kind = r.randrange(5)
+        if kind == 0:
+            before, value = prose() + " ", "".join(word().title() for _ in range(r.randint(3, 7)))
+        elif kind == 1:
+            before, value = prose() + " ", r.choice("_-/").join(r.choice((word(), word().title())) for _ in range(r.randint(3, 7)))
+        elif kind == 2:
+            before, value = prose() + " ", "".join(syllable() for _ in range(r.randint(6, 12))).title()
+        elif kind == 3:
+            before, value = prose() + r.choice((" author: ", " authors: ", " tokenizer: ", " secretary: ", " Author = ")), r.choice((str.title, str))("".join(syllable() for _ in range(r.randint(2, 4))))
+        else:
+            before, value = prose() + " ", r.choice(("sk-", "sk_", "pk_", "rk_")) + r.choice("_-").join(word() for _ in range(r.randint(3, 6)))
+        out.append((before, value, " " + prose(), 0))
     return out
 
 

@@ -298,3 +298,15 @@ def test_pipeline_stages(spark, docs, tmp_path):
             assert out.columns == docs.columns
         now = out
     assert now.where(F.col("length") > 2048).count() == 0
+
+
+def test_secrets_without_digits_and_behind_suffixes():
+    forest = secrets.train()
+    hit = lambda t, v: any(t[s:e] == v and p >= 0.5 for s, e, p in secrets.judge([t], forest)[0])
+    keys = ["AKIA" + "QWERTZUIOPASDFGH", "sk_live_" + "aBcKdLeMfNgOhPiQjRkSlTmU", "glpat-" + "xYzAbKcLdMeNfOgPhQiR"]
+    assert all(hit(f"we use {k} here", k) for k in keys)
+    assert all(hit(f"{name}hT4kPw9zQx", "hT4kPw9zQx") for name in ("secret_key=", "db_password_prod: ", "access_key=", "passphrase: "))
+    assert hit("secret_key=qZrTkWvBnMxLpD", "qZrTkWvBnMxLpD")
+    plain = "The author: Hemingway wrote about Internationalization and StringBufferFactoryManager in Anglo-American-Relations."
+    assert not any(p >= 0.5 for _, _, p in secrets.judge([plain], forest)[0])
+    assert [secrets.candidates("secret_" * 50_000)] == [[]]
