@@ -35,6 +35,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import connected_components, cut, mix64, shelve, table, text_batches
 
@@ -307,7 +308,8 @@ class _Join:
         return connected_components(part.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
 
     def components(self) -> DataFrame:
-        """(doc_id, n, component_id) of every row."""
+        """(doc_id, n, component_id, set_id, component) of every row. Where ids repeat, two components can have
+        the same component_id; component, a set's, is one's own. Without words set_id and component are null."""
         shared = self.shared()
         packed = self.packed(shared)
         step = 100.0 / self.percent
@@ -336,9 +338,10 @@ class _Join:
         part = self._joined(part, self.links(later, packed))
         named = self.classes.join(part.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
-        named = named.join(least, "component").select("set_id", "component_id")
-        full = self.sets.where("n > 0").join(named, "set_id").select("doc_id", "n", "component_id")
-        return full.union(self.sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+        named = named.join(least, "component").select("set_id", "component_id", "component")
+        full = self.sets.where("n > 0").join(named, "set_id").select("doc_id", "n", "component_id", "set_id", "component")
+        none = F.lit(None).cast("long")
+        return full.union(self.sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), none, none))
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
@@ -350,12 +353,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
+def _with_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows with their set's fingerprint, null without words."""
+    for batch, texts in text_batches(batches, "text"):
+        sets = pa.array([_fingerprint(x) if len(x) else None for x in shingle_sets(texts, size)], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, sets], names=[*batch.schema.names, "_set"])
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8): the one with the smallest id.
-    Documents without words stay, as do rows without id."""
-    kept = join(docs, 5, 80).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = cut(kept)
-    out = docs.join(kept.select(F.col("doc_id").alias("kept_id")), F.col("doc_id") == F.col("kept_id"))
-    if kept.where("rows > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    Documents without words stay, as do rows without id. Where rows share an id, each group keeps one of
+    its own: a row with the smallest id, of several sets the one with the smallest fingerprint."""
+    found = _Join(docs, 5, 80, ORDERS)
+    kept = found.components().where("doc_id = component_id")
+    if not found.repeats:
+        kept = kept.select(F.col("doc_id").alias("kept_id"))
+        out = docs.join(kept, F.col("doc_id") == F.col("kept_id")).select(*docs.columns)
+        return out.unionByName(docs.where("doc_id IS NULL"))
+    kept = kept.where("component IS NOT NULL").groupBy("doc_id", "component").agg(F.min("set_id").alias("_set")).select(F.col("doc_id").alias("kept_id"), F.col("_set").alias("kept_set"))
+    schema = StructType([*docs.schema.fields, StructField("_set", LongType())])
+    rows = docs.where("doc_id IS NOT NULL").mapInArrow(functools.partial(_with_sets, size=5), schema)
+    out = rows.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("_set") == F.col("kept_set"))).dropDuplicates(["doc_id", "_set"])
+    out = out.select(*docs.columns).unionByName(rows.where("_set IS NULL").select(*docs.columns))
+    return out.unionByName(docs.where("doc_id IS NULL"))

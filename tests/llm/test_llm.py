@@ -310,3 +310,12 @@ def test_secrets_without_digits_and_behind_suffixes():
     plain = "The author: Hemingway wrote about Internationalization and StringBufferFactoryManager in Anglo-American-Relations."
     assert not any(p >= 0.5 for _, _, p in secrets.judge([plain], forest)[0])
     assert [secrets.candidates("secret_" * 50_000)] == [[]]
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    words = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (4, c), (5, c + " more"), (6, ""), (6, "  "), (7, a + " end"), (7, words("d")), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r[0] or 0, r[1]) for r in ngram_join.stage(spark, docs, "").collect())
+    assert out == sorted([(1, a), (1, b), (4, c), (6, ""), (6, "  "), (7, words("d")), (0, a)])
