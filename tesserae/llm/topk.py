@@ -15,7 +15,8 @@ and those are merged per query with an aggregate that keeps k rows (it combines
 Defined results: null vectors and vectors with null or non-finite components take no part, on either
 side; vectors of another length than the query's are no candidates for it; equal scores rank by
 smaller id; repeated rows with another id are candidates of their own, all rows with the query's own
-id are left out; a query with fewer candidates gets all; an empty table gives no rows."""
+id are left out; a query with fewer candidates gets all; an empty table gives no rows; a score
+beyond 64 bits is null, its rank is exact."""
 
 from __future__ import annotations
 
@@ -32,7 +33,7 @@ from .common import table
 K = 20
 BLOCK = 4096
 QUERY_BATCH = 512
-#: Scores are below 2^53 in double precision; components are checked against it.
+#: Scores whose bound is below it are exact in double precision; others are summed as Python's integers.
 _EXACT = 2.0**53
 
 
@@ -40,7 +41,8 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """(vec_id, v): floor(scale * x) of the vectors whose components are all finite, as doubles."""
     x = F.col("embedding")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == F.lit(float("inf"))))
-    v = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("double"))
+    big = lambda y: F.abs(y) >= _EXACT  # integers already, and maybe none that floor() can return
+    v = F.transform(x, lambda e: F.when(big(e.cast("double") * scale), e.cast("double") * scale).otherwise(F.floor(e.cast("double") * scale).cast("double")))
     return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad).select("vec_id", v.alias("v"))
 
 
@@ -62,15 +64,16 @@ def search(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int) -> t
     ids, matrix, levels = index["ids"], index["matrix"], index["levels"]
     n = len(ids)
     norms = np.sqrt((queries * queries).sum(1))
-    scores = np.zeros((len(queries), n), np.float32)
+    scores = np.zeros((len(queries), n))
+    # more than the rounding of a score and of the norms can come to, whatever the order of the sums
+    rounding = (8 * (matrix.shape[1] + len(levels) + 2) * np.finfo(np.float64).eps) * norms[:, None] * np.sqrt((matrix * matrix).sum(1))[None, :]
     own = np.isin(query_ids, ids)
     same = [(r, np.flatnonzero(ids == query_ids[r])) for r in np.flatnonzero(own)]
     keep = min(n, k + max((len(x) for _, x in same), default=0))
     possible = None
-    small = queries.astype(np.float32)
     for level, rest in levels:
-        scores += small @ level.T.astype(np.float32)
-        slack = norms[:, None] * rest[None, :] + 1e-3 * (1 + norms[:, None])  # the second part covers rounding
+        scores += queries @ level.T
+        slack = norms[:, None] * rest[None, :] + rounding
         low = scores - slack
         kth = -np.partition(-low, keep - 1, axis=1)[:, keep - 1]
         possible = scores + slack >= kth[:, None]
@@ -81,30 +84,53 @@ def search(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int) -> t
     for r, at in same:
         possible[r, at] = False
     rows, cols = np.nonzero(possible)
-    exact = np.empty(len(rows), np.int64)
-    for s in range(0, len(rows), 100_000):
-        e = slice(s, s + 100_000)
-        exact[e] = np.einsum("ij,ij->i", queries[rows[e]], matrix[cols[e]]).astype(np.int64)
-    order = np.lexsort((ids[cols], -exact, rows))
+    exact = _exact(queries, matrix, rows, cols)
+    place = exact if exact.dtype != object else np.unique(exact, return_inverse=True)[1]
+    order = np.lexsort((ids[cols], -place, rows))
     rows, cols, exact = rows[order], cols[order], exact[order]
     rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
     best = rank < k
     return rows[best], ids[cols[best]], exact[best]
 
 
+def _exact(queries: np.ndarray, matrix: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """The inner products of pairs, as 64-bit integers or, where one may not fit in a double, as Python's."""
+    exact = np.empty(len(rows), np.int64)
+    size, width = np.abs(queries).max(1, initial=0), np.abs(matrix).max(1, initial=0)
+    large = matrix.shape[1] * size[rows] * width[cols] >= _EXACT
+    fits = np.flatnonzero(~large)
+    for s in range(0, len(fits), 100_000):
+        at = fits[s : s + 100_000]
+        exact[at] = np.einsum("ij,ij->i", queries[rows[at]], matrix[cols[at]]).astype(np.int64)
+    if large.any():
+        exact = exact.astype(object)
+        for i in np.flatnonzero(large):
+            exact[i] = sum(int(x) * int(y) for x, y in zip(queries[rows[i]], matrix[cols[i]], strict=True))
+    return exact
+
+
+def _wide(x: int) -> tuple[int, int, str | None]:
+    """(side, score, wide): by side, then -score, then wide, scores stand from the highest down; side is not 0
+    for those beyond 64 bits, which `wide` orders: by their digits, or from the top by what they lack to nines."""
+    if abs(x) < 2**63:
+        return 0, x, None
+    d = str(abs(x))
+    return (1, 0, f"{len(d):04d}{d}") if x < 0 else (-1, 0, f"{9999 - len(d):04d}" + "".join(str(9 - int(c)) for c in d))
+
+
 def _search_block(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     out = []
     for dims in set(queries["dims"]) & set(vectors["dims"]):
         v, q = vectors[vectors["dims"] == dims], queries[queries["dims"] == dims]
         matrix = np.frombuffer(b"".join(v["v"]), np.float64).reshape(len(v), dims)
         qs = np.frombuffer(b"".join(q["v"]), np.float64).reshape(len(q), dims)
-        if len(matrix) and len(qs) and dims * np.abs(matrix).max(initial=0) * np.abs(qs).max(initial=0) >= _EXACT:
-            raise ValueError("components are too large for exact scores")
         index, q_ids = build(v["vec_id"].to_numpy(), matrix), q["vec_id"].to_numpy()
         for s in range(0, len(q), QUERY_BATCH):
             rows, ids, scores = search(index, q_ids[s : s + QUERY_BATCH], qs[s : s + QUERY_BATCH], k)
-            out.append(pd.DataFrame({"query_id": q_ids[s:][rows], "vec_id": ids, "score": scores}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            out.append(pd.DataFrame({"query_id": q_ids[s:][rows], "vec_id": ids, "score": scores, "side": 0, "wide": None}))
+            if scores.dtype == object:
+                out[-1][["side", "score", "wide"]] = [_wide(x) for x in scores.tolist()]
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "side": [], "wide": []}).astype({"wide": object})
 
 
 def _binary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,9 +147,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     packed = vectors.mapInPandas(_binary, "vec_id long, v binary, dims int").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
     asked = queries.mapInPandas(_binary, "vec_id long, v binary, dims int").distinct()
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = packed.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(functools.partial(_search_block, k=k), "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    found = packed.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(functools.partial(_search_block, k=k), "query_id long, vec_id long, score long, side int, wide string")
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("side", (-F.col("score")).alias("s"), "wide", "vec_id"))), 1, k).alias("best"))
+    return best.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.when(F.col("b.side") == 0, -F.col("b.s")).alias("score"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -319,3 +319,28 @@ def test_near_duplicates_with_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = sorted((r[0] or 0, r[1]) for r in ngram_join.stage(spark, docs, "").collect())
     assert out == sorted([(1, a), (1, b), (4, c), (6, ""), (6, "  "), (7, words("d")), (0, a)])
+
+
+def by_hand(vectors, queries, k):
+    score = lambda a, b: sum(int(x) * int(y) for x, y in zip(a, b, strict=True))
+    return {q: sorted((-score(v, w), i) for i, w in vectors if i != q)[:k] for q, v in queries}
+
+
+def test_top_k_of_long_vectors():
+    r = np.random.default_rng(5)
+    m = r.integers(-(2**18), 2**18, 64)[None, :] + r.integers(-1, 2, (300, 64)).astype(np.float64)
+    rows, ids, scores = topk.search(topk.build(np.arange(300), m), np.arange(5), m[:5], 20)
+    want = by_hand(list(enumerate(m)), list(enumerate(m[:5])), 20)
+    assert all([(-s, i) for s, i in zip(scores[rows == q].tolist(), ids[rows == q].tolist(), strict=True)] == want[q] for q in range(5))
+
+
+def test_top_k_of_huge_components(spark):
+    r = np.random.default_rng(6)
+    v = [(i, [float(x) for x in r.integers(-5, 6, 4)]) for i in range(40)] + [(90, [1e30, 0.0, 1.0, 0.0]), (91, [-3e20, 1.0, 0.0, 2.0]), (92, [3e7, 0.0, 2.0, 5e8])]
+    df = spark.createDataFrame(v, "vec_id long, v array<double>")
+    want = by_hand(v, v, 6)
+    for x in topk.top_k(df, df, 6, 10).collect():
+        s, i = want[x["query_id"]][x["rank"] - 1]
+        assert (x["vec_id"], x["score"]) == (i, -s if abs(s) < 2**63 else None)
+    q = topk.quantised(spark.createDataFrame([(1, [1e30, -0.5])], "vec_id long, embedding array<float>")).first()["v"]
+    assert q == [float(np.float32(1e30)) * 64, -32.0]
