@@ -17,9 +17,9 @@ and a token's holders give pairs: all of them while they are few; a token of man
 holder a pair with a pivot, and the rest of its pairs in later rounds, only between holders that are not
 connected yet. Since components are what is asked, a pair inside a component needs no check, and a
 family of thousands of near copies costs a few pairs for each. Rounds go on until no token has
-holders in two components whose pair is unchecked, so no link between components is lost; tokens with
-very many such holders are split by the holders' prefix tokens under the second and third order, which a
-linked pair must share as well.
+holders in two components whose pair is unchecked, so no link between components is lost. In a pair the
+smaller set holds the token early, within its first n - ceil(2 * percent * n / (100 + percent)) + 1: a
+token that no set holds so early gives no pairs, nor do pairs whose places leave too few tokens to share.
 
 Candidates are held against the prefixes under the other orders (the intersection of the filters), as
 arrays of integers, and only what is left moves texts, which are verified on the whole sets.
@@ -58,8 +58,6 @@ FEW = 6
 #: Pivots a token of many holders has in each later round. Members of a family that link with few of
 #: the others find one of them among ever more pivots; what is connected then needs no more pairs.
 PIVOTS = (8, 24, 64)
-#: Holders of a token still apart that give all pairs; more are split by the next order's tokens first.
-MANY = 200
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -290,11 +288,13 @@ class _Join:
         blocks, drop = shelve(texts.mapInArrow(functools.partial(_blocks, size=size), _BLOCKS))
         bits = bucket_bits(blocks.agg(F.expr("sum(aggregate(rows.n, 0L, (s, n) -> s + n))")).first()[0] or 0)
         told = blocks.select("block", "rows").mapInArrow(functools.partial(_tokens, size=size, bits=bits), _TOKENS)
-        answers = told.groupBy("bucket").applyInArrow(_rank, "block long, bucket int, ranks binary")
+        answers, forget = shelve(told.groupBy("bucket").applyInArrow(_rank, "block long, bucket int, ranks binary"))
+        sweep(docs.sparkSession)  # what the buckets were told goes before the blocks move
         answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "ranks")).alias("answers"))  # one for each bucket
         held = blocks.join(answers, "block", "left").mapInArrow(functools.partial(_holders, size=size, percent=percent), _HOLDERS)
         self.holders, self.drop = shelve(held.dropDuplicates(["set_id"]))
         self.sets = cut(blocks.select(F.explode("rows").alias("r")).select("r.doc_id", "r.n", "r.set_id"))
+        forget()
         drop()
         self.classes = self.sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
 
@@ -330,34 +330,26 @@ class _Join:
     def _pivots(self, many: DataFrame, by, among: DataFrame | None = None, number: int = 1) -> DataFrame:
         """The holders of tokens, or those `among` them, each with the pivots of its own size and of the
         next smaller one; where components are known, only those of another component. A token has a
-        `number` of pivots: the least holder of each of so many buckets."""
+        `number` of pivots: the least early holder of each of so many buckets."""
         bucket = F.pmod(F.xxhash64("set_id", F.lit(number)), F.lit(number)).alias("bucket")
-        pivot = many.groupBy("token", "level", bucket).agg(F.min(F.struct(by.alias("h"), *[c for c in many.columns if c not in ("token", "level")])).alias("p"))
+        pivot = many.where("early").groupBy("token", "level", bucket).agg(F.min(F.struct(by.alias("h"), *[c for c in many.columns if c not in ("token", "level")])).alias("p"))
         pivot = pivot.select("token", "level", "p.*").drop("h")
         return self._pairs(among or many, pivot.unionByName(pivot.withColumn("level", F.col("level") + 1)), ["token", "level"])
 
     def _split(self, many: DataFrame, part: DataFrame) -> DataFrame:
-        """The holders of tokens that are held in two components or more, with their component."""
+        """The holders of tokens that are held in two components or more, with their component; `main` is
+        the token's largest one."""
         named = many.join(part.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        return cut(named.join(split, "token"))
+        sizes = named.groupBy("token", "component").agg(F.count("*").alias("k"), F.max("early").alias("early"))
+        split = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.max("early").alias("_e"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1 AND _e")
+        return cut(named.join(split.select("token", "main"), "token"))
 
     def _apart(self, left: DataFrame) -> DataFrame:
-        """Every pair of holders in two components that share a token; a token of very many holders is told
-        apart by their tokens under the second order, and those by the third."""
-        out, on = None, ["token"]
-        rows = left.select("token", "set_id", "n", "place", "component")
-        for finer in ("second", "third", None):
-            k = rows.groupBy(*on).agg(F.count("*").alias("k")).where("k > 1")
-            sized = rows.join(k, on)
-            small = sized.where(F.col("k") <= MANY) if finer else sized
-            pairs = self._pairs(small, small, on).distinct()
-            out = pairs if out is None else out.unionByName(pairs)
-            if finer:
-                tokens = self.holders.select("set_id", F.explode(finer).alias(finer))
-                rows = sized.where(F.col("k") > MANY).drop("k").join(tokens, "set_id")
-                on = [*on, finer]
-        return out
+        """Every pair of holders in two components that share a token. One of two is not of the token's
+        largest component, so what a family has joined does not meet itself."""
+        aside = left.where("component <> main")
+        early = self._pairs(aside, left.where("early"), ["token"])
+        return early.unionByName(self._pairs(aside.where("early"), left.where("component = main AND NOT early"), ["token"]))
 
     def _joined(self, part: DataFrame, links: DataFrame) -> DataFrame:
         """The components of `part` after more links; what is joined already is not worked out again."""
@@ -371,12 +363,14 @@ class _Join:
         postings = self.holders.select("set_id", "n", F.explode(F.arrays_zip("tokens", "places")).alias("p")).select("set_id", "n", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
         step = 100.0 / self.percent
         postings = postings.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step))))
-        held = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")  # copies are one holder now
+        early = F.col("place") <= F.col("n") - F.ceil(F.lit(2 * self.percent) * F.col("n") / F.lit(100 + self.percent))
+        postings = postings.withColumn("early", early)
+        held = postings.groupBy("token").agg(F.count("*").alias("k"), F.max("early").alias("_e")).where("k > 1 AND _e").drop("_e")  # copies are one holder now
         shared = cut(postings.join(held, "token"))
         few, many = shared.where(F.col("k") <= FEW), shared.where(F.col("k") > FEW)
-        first = self._pairs(few, few, ["token"]).where("a < b")
+        first = self._pairs(few, few.where("early"), ["token"])
         # at first only by its commonest token, so that a member of a family meets one or two pivots
-        best = many.groupBy("set_id").agg(F.max_by(F.struct("token", "level", "n", "place"), F.struct("k", "token")).alias("t")).select("set_id", "t.*")
+        best = many.groupBy("set_id").agg(F.max_by(F.struct("token", "level", "n", "place"), F.struct("early", "k", "token")).alias("t")).select("set_id", "t.*")
         many = many.drop("k")
         part = connected_components(self.links(first.union(self._pivots(many, F.col("set_id"), best))))
         left = self._split(many, part)
@@ -386,7 +380,7 @@ class _Join:
             more = self.links(self._pivots(left, F.xxhash64("set_id", F.lit(number)), number=number))
             if not more.isEmpty():
                 part = self._joined(part, more)
-                left = self._split(left.drop("component"), part)
+                left = self._split(left.drop("component", "main"), part)
         if not left.isEmpty():
             part = self._joined(part, self.links(self._apart(left)))
         named = self.classes.join(part.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

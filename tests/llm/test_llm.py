@@ -102,7 +102,6 @@ def families(seed=2):
 @pytest.mark.parametrize("pivots", [(8, 24, 64), ()])
 def test_ngram_join_of_families(spark, monkeypatch, pivots):
     monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
-    monkeypatch.setattr(ngram_join, "MANY", 20)
     monkeypatch.setattr(ngram_join, "BLOCK", 5000)
     rows = families()
     got = {r[0]: (r[1], r[2]) for r in ngram_join.join(spark.createDataFrame(rows, COLUMNS).repartition(4)).collect()}
