@@ -33,11 +33,11 @@ def ris(entries: DataFrame) -> DataFrame:
     return entries.withColumn("ris", text)
 
 
-def section(rows: DataFrame, title: str, line: Column, order: str) -> DataFrame:
-    """(title, text): a Markdown section with a line for each row, in order."""
-    got = rows.select(F.lit(title).alias("title"), F.struct(F.col(order).alias("o"), line.alias("t")).alias("l"))
+def section(rows: DataFrame, title: str, line: Column, order: str, key: str) -> DataFrame:
+    """(key, title, text): a Markdown section of each key with a line for each row, in order."""
+    got = rows.select(key, F.struct(F.col(order).alias("o"), line.alias("t")).alias("l"))
     text = F.concat(F.lit(f"## {title}\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda s: F.concat(F.lit("- "), s["t"])), "\n"))
-    return got.groupBy("title").agg(text.alias("text"))
+    return got.groupBy(key).agg(F.lit(title).alias("title"), text.alias("text"))
 
 
 def write_text(rows: DataFrame, column: str, path: str, order: str = "ord", separator: str = "\n\n") -> None:

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import fuzzy_score, norm
-from .evidence import dedupe, match_label
+from ..functions import text as X
+from ..functions.kernels import fuzzy_score_udf
+from .evidence import dedupe, match_labels
 
 QUESTION = "List every book title and every author band you can read in this image. For each: title, author (if legible), and rough box. Skip logos and set dressing that are not books."
 REPLY = "array<struct<kind:string,title:string,author:string>>"
@@ -67,48 +68,40 @@ def new_bands(bands: DataFrame, reviewed: DataFrame, key: str = "doc_id") -> Dat
     return bands.select(key, "name").unionByName(fresh)
 
 
-def spine_scores(labels: dict, reads: list[dict], books: dict) -> dict:
-    """How many confident labels were read, verified, and verified as the right record. For label files,
-    which are short lists; `spine_scores_of` does it for tables."""
-    gazetteer = books.get("gazetteer", [])
-    verified = {norm(g["phrase"]): g for g in gazetteer}
-    for g in gazetteer:
-        for alias in (g.get("matched_as"), g.get("title")):
-            if alias:
-                verified.setdefault(norm(alias), g)
-    bands = sorted(set(books.get("author_spines", [])))
-    known = [g["phrase"] for g in gazetteer] + [g["matched_as"] for g in gazetteer if g.get("matched_as")] + [g["title"] for g in gazetteer if g.get("title")] + bands
-    texts = [r["text"] for r in reads] + known
-
-    def record(name: str) -> tuple[str | None, float, dict | None]:
-        hit, score = match_label(name, texts)
-        g = verified.get(norm(hit)) if hit else None
-        return hit, score, g
-
-    rows = []
-    for b in filter(lambda b: b.get("confident"), labels.get("books", [])):
-        hit, score, g = record(b["title"])
-        if g is None:
-            other, _ = match_label(b["title"], known)
-            g = verified.get(norm(other)) if other else None
-        g = g if g and g.get("status") in ("confirmed", "verified") else None
-        surname = (b.get("author") or "").lower().split()[-1:]
-        right = g is not None and (bool(surname) and surname[0] in " ".join(g.get("authors") or []).lower() or fuzzy_score(b["title"], g.get("title") or "") >= 0.8)
-        rows.append({"label": b["title"], "found": hit, "score": score, "verified": g is not None, "right_record": right})
-    people = []
-    for a in filter(lambda a: a.get("confident"), labels.get("author_bands", [])):
-        hit, score, g = record(a["name"])
-        people.append({"label": a["name"], "found": hit, "score": score, "reported_author": hit is not None and (hit in bands or (g or {}).get("status") == "author")})
-    share = lambda k: round(sum(bool(r[k]) for r in rows) / len(rows), 2) if rows else None
-    return {"books": rows, "author_bands": people, "recall_surface": share("found"), "recall_verified": share("verified"), "recall_right_record": share("right_record")}
-
-
-def spine_scores_of(labels: DataFrame, reads: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, label, found, score) of many shelves: each shelf's labels against its reads."""
-
-    def score(ls: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
-        hits = [match_label(t, rs["text"].tolist()) for t in ls["label"]]
-        return pd.DataFrame({key: ls[key], "label": ls["label"], "found": [h for h, _ in hits], "score": [s for _, s in hits]})
-
-    kind = labels.schema[key].dataType.simpleString()
-    return labels.select(key, "label").groupBy(key).cogroup(reads.select(key, "text").groupBy(key)).applyInPandas(score, f"{key} {kind}, label string, found string, score double")
+def spine_scores(labels: DataFrame, reads: DataFrame, entries: DataFrame, bands: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, kind, label, found, score, verified, right_record, reported_author) of each confident label.
+
+    labels: key, kind (book or author_band), label, author, confident; reads: key, ord, text; entries: key,
+    ord, phrase, matched_as, title, authors, status; bands: key, name. A book's record is the entry that goes
+    by what was found (a phrase before other names), else by the best match among the entries' own names."""
+    asked = labels.where("confident AND label IS NOT NULL")
+    given = entries.select(key, "ord", F.posexplode(F.array("phrase", "matched_as", "title")).alias("which", "name"), "title", "authors", "status").where("name IS NOT NULL AND name <> ''")
+    # of entries with one phrase the last counts, of those that share another name the first
+    rank = F.when(F.col("which") == 0, F.struct(F.lit(0).alias("r"), (-F.col("ord")).alias("o"), F.lit(0).alias("w"))).otherwise(F.struct(F.lit(1).alias("r"), F.col("ord").alias("o"), F.col("which").alias("w")))
+    records = given.groupBy(key, X.norm(F.col("name")).alias("_k")).agg(F.min_by(F.struct("title", "authors", "status"), rank).alias("rec"))
+    names = given.select(key, F.struct(F.lit(1).alias("a"), F.col("which").alias("b"), F.col("ord").alias("c")).alias("o"), F.col("name").alias("text"))
+    names = names.unionByName(bands.select(key, F.struct(F.lit(1).alias("a"), F.lit(3).alias("b"), F.lit(0).cast("long").alias("c")).alias("o"), F.col("name").alias("text")).distinct())
+    seen = reads.select(key, F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.col("ord").cast("long").alias("c")).alias("o"), "text")
+    placed = lambda t: t.where("text IS NOT NULL").withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("o", "text"))).drop("o")
+    hit = match_labels(asked, placed(seen.unionByName(names)), key).withColumn("_k", X.norm(F.col("found"))).join(records, [key, "_k"], "left").drop("_k")
+    own = match_labels(asked, placed(names), key).withColumn("_k", X.norm(F.col("found"))).join(records.withColumnRenamed("rec", "other"), [key, "_k"], "left").select(key, "label", "other")
+    rows = asked.join(hit, [key, "label"]).join(own, [key, "label"])
+    good = F.when(F.coalesce("rec", "other")["status"].isin("confirmed", "verified"), F.coalesce("rec", "other"))
+    rows = rows.withColumn("good", good)
+    surname = F.nullif(F.element_at(F.split(F.trim(F.lower(F.coalesce("author", F.lit("")))), r"\s+"), -1), F.lit(""))
+    by_author = F.coalesce(F.contains(F.lower(F.array_join(F.col("good")["authors"], " ")), surname), F.lit(False))
+    by_title = fuzzy_score_udf("label", F.coalesce(F.col("good")["title"], F.lit(""))) >= 0.8
+    book, found = F.col("kind") == "book", F.col("good").isNotNull()
+    shown = bands.select(key, F.col("name").alias("found"), F.lit(True).alias("_band")).distinct()
+    rows = rows.join(shown, [key, "found"], "left")
+    reported = F.col("found").isNotNull() & (F.coalesce("_band", F.lit(False)) | F.coalesce(F.col("rec")["status"] == "author", F.lit(False)))
+    return rows.select(key, "kind", "label", "found", "score", F.when(book, found).alias("verified"), F.when(book, found & (by_author | by_title)).alias("right_record"), F.when(~book, reported).alias("reported_author"))
+
+
+def recalls(scores: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, recall_surface, recall_verified, recall_right_record, bands_reported) over scored labels."""
+    share = lambda c, kind: F.bround(F.avg(F.when(F.col("kind") == kind, c.cast("double"))), 2)
+    return scores.groupBy(key).agg(
+        share(F.col("found").isNotNull(), "book").alias("recall_surface"), share(F.col("verified"), "book").alias("recall_verified"),
+        share(F.col("right_record"), "book").alias("recall_right_record"), share(F.col("reported_author"), "author_band").alias("bands_reported"),
+    )

@@ -553,12 +553,11 @@ def exports(spark, d):
     return export.ris(export.bibtex(e)).select("p_partkey", "bibtex", "ris")
 
 
+@query()
 def fused_report(spark, d):
-    """The whole fusion plan over shelves made of order lines, with the parts as catalogue. Not registered:
-    it has not been seen to end on the smallest tables, and its result is not tested yet."""
+    """The whole fusion plan: shelves made of order lines, talks, pages' lines as bibliographies, parts as catalogue."""
     from .pipeline import Artifacts, compile_entries
 
-    reads = _reads(spark, d)
-    talk = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"), "text")
-    out = compile_entries(Artifacts(spines=reads, segments=talk, catalogues=[("catalogue", _catalogue(spark, d))]), spark)
+    talk = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("long").alias("seq"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"), "text")
+    out = compile_entries(Artifacts(scroll=_lines(spark, d).select("doc_id", F.col("seq").cast("long").alias("seq"), "text"), spines=_reads(spark, d), segments=talk, catalogues=[("catalogue", _catalogue(spark, d))]), spark)
     return out["entries"].select("doc_id", "phrase", "title", "year", "score", "match_type", "status")

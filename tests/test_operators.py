@@ -84,19 +84,83 @@ def test_matching(spark):
     assert {r["phrase"]: r["authors"][0] for r in resolve.match(pairs, hints=hints).collect()}["Facing Reality"] == "Charles Murray"
 
 
-def test_stacked_reads():
-    box = lambda t, y: {"text": t, "conf": 0.9, "x": 0, "y": y, "w": 100, "h": 20}
-    out = evidence.join_stacked([box("Selfish", 0), box("Gene", 25), box("DAWKINS", 50), {**box("Sapiens", 300), "x": 400}])
-    assert {(r["text"], r.get("grouped")) for r in out} == {("Selfish Gene", 2), ("DAWKINS", None), ("Sapiens", None)}
-
-
-def test_labels():
-    assert evidence.match_label("Locked In", ["LOCKEDIN"])[0] == "LOCKEDIN"
-    assert evidence.match_label("On the Origin of Species", ["Sapiens"])[0] is None
-    labels = {"books": [{"title": "Sapiens", "author": "Y Harari", "confident": True}], "author_bands": []}
-    books = {"gazetteer": [{"phrase": "Sapiens", "title": "Sapiens", "authors": ["Y Harari"], "status": "weak"}]}
-    s = review.spine_scores(labels, [{"text": "Sapiens"}], books)
-    assert (s["recall_surface"], s["recall_verified"]) == (1.0, 0.0)
+READ = "doc_id long, ord long, text string, conf double, x double, y double, w double, h double"
+
+
+def test_stacked_reads(spark):
+    box = lambda k, t, x, y, h=20.0: (1, k, t, 0.9, x, y, 100.0, h)
+    rows = [box(0, "Selfish", 0.0, 0.0), box(1, "Gene", 0.0, 25.0), box(2, "DAWKINS", 0.0, 50.0), box(3, "Sapiens", 400.0, 300.0)]
+    rows += [box(4, "MURRAY", 900.0, 0.0), box(5, "Facing", 900.0, 25.0), box(6, "Reality", 910.0, 46.0), (2, 0, "WEALIT", 0.5, 1.0, 2.0, None, None), (2, 1, "AND PO", 0.5, 1.0, 3.0, None, None)]
+    rows += [(3, 0, "AND PO", 0.9, 0.0, 0.0, 60.0, 20.0), (3, 1, "JamQW", 0.9, 0.0, 25.0, 60.0, 20.0), (4, 0, None, None, None, None, 5.0, 5.0)]
+    out = evidence.group_reads(spark.createDataFrame(rows, READ)).collect()
+    assert [(r["text"], r["grouped"]) for r in sorted(out, key=lambda r: r["ord"]) if r["doc_id"] == 1] == [("DAWKINS", None), ("Selfish Gene", 2), ("MURRAY", None), ("Facing Reality", 2), ("Sapiens", None)]
+    assert sorted((r["doc_id"], r["text"]) for r in out if r["doc_id"] > 1) == [(2, "AND PO"), (2, "WEALIT"), (3, "AND PO"), (3, "JamQW"), (4, "")]
+
+
+def test_columns_of_boxes():
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        n = 40
+        x, y, w, h = r.integers(0, 300, n) * 1.0, np.sort(r.integers(0, 400, n) * 1.0), r.integers(0, 90, n) * 1.0, r.integers(0, 30, n) * 1.0
+        tops: list[list[int]] = []
+        for j in range(n):  # column by column, as one would by hand
+            ok = lambda i, j=j: w[i] and h[i] and w[j] and h[j] and min(x[i] + w[i], x[j] + w[j]) - max(x[i], x[j]) > 0.5 * min(w[i], w[j]) and -0.2 * h[i] <= y[j] - y[i] - h[i] <= min(2 * h[i], 80)
+            at = next((t for t in tops if ok(t[-1])), None)
+            tops.append([j]) if at is None else at.append(j)
+        head = evidence.chain_heads(x, y, w, h)
+        assert {t[0]: t for t in tops} == {k: np.flatnonzero(head == k).tolist() for k in set(head.tolist())}
+
+
+def test_labels(spark):
+    text = lambda *t: spark.createDataFrame([(1, i, x) for i, x in enumerate(t)], "doc_id long, ord long, text string")
+    ask = lambda label, *t: evidence.match_labels(spark.createDataFrame([(1, label)], "doc_id long, label string"), text(*t)).first()
+    assert ask("Locked In", "LOCKEDIN")["found"] == "LOCKEDIN"
+    assert ask("On the Origin of Species", "Sapiens")["found"] is None
+    assert ask("Losing Ground", "LOSISG GROUND", "Losing Ground")["found"] == "Losing Ground"
+    assert ask("Losing Ground", "Losing Ground and much else here")["found"] is None and ask("of the", "of the")["score"] == 0.0
+
+
+def test_scores_of_labels(spark):
+    labels = spark.createDataFrame([(1, "book", "Sapiens", "Y Harari", True), (1, "book", "Losing Ground", "Charles Murray", True), (1, "book", "Unsure", "", False), (1, "author_band", "Dennett", None, True)], "doc_id long, kind string, label string, author string, confident boolean")
+    reads = spark.createDataFrame([(1, 0, "Sapiens"), (1, 1, "DENNETT")], "doc_id long, ord long, text string")
+    kind = "doc_id long, ord long, phrase string, matched_as string, title string, authors array<string>, status string"
+    entries = spark.createDataFrame([(1, 0, "Sapiens", None, "Sapiens", ["Y Harari"], "weak"), (1, 1, "LOSISG GROUND", "Losing Ground", "Losing Ground", ["Charles Murray"], "verified")], kind)
+    rows = review.spine_scores(labels, reads, entries, spark.createDataFrame([(1, "DENNETT")], "doc_id long, name string"))
+    got = {r["label"]: (r["found"], r["verified"], r["right_record"], r["reported_author"]) for r in rows.collect()}
+    assert got == {"Sapiens": ("Sapiens", False, False, None), "Losing Ground": ("Losing Ground", True, True, None), "Dennett": ("DENNETT", None, None, True)}
+    r = review.recalls(rows).first()
+    assert (r["recall_surface"], r["recall_verified"], r["bands_reported"]) == (1.0, 0.5, 1.0)
+
+
+def test_fusion_keeps_runs_apart(spark):
+    from tesserae.plans.pipeline import Artifacts, compile_entries, report
+
+    read = lambda d, k, t, y: (d, k, t, 0.9, 0.0, y, 100.0, 20.0)
+    spines = spark.createDataFrame([read(1, 0, "Sapiens", 0.0), read(1, 1, "Facing Reality", 200.0), read(2, 0, "Facing Reality", 0.0), read(2, 1, "HARARI", 300.0)], READ)
+    said = [(1, 0, 0.0, 5.0, "and we talk about Sapiens with John Eccles today"), (1, 1, 5.0, 9.0, "He read Deep Work once"), (2, 0, 0.0, 5.0, "what Murray says there")]
+    segments = spark.createDataFrame(said, "doc_id long, seq long, start double, end double, text string")
+    scroll = spark.createDataFrame([(1, 0, "Harari, Y. Sapiens. 2011."), (2, 0, "Murray, C. Facing Reality. 2021.")], "doc_id long, seq long, text string")
+    books = [(0, "Sapiens", ["Yuval Harari"], 2011, 40), (1, "Deep Work", ["Cal Newport"], 2016, 30), (2, "Facing Reality", ["John Eccles"], 1970, 6), (3, "Facing Reality", ["Charles Murray"], 2021, 5)]
+    catalogue = resolve.catalogue_rows(spark.createDataFrame(books, "seq long, title string, authors array<string>, year int, editions int"))
+    out = compile_entries(Artifacts(scroll=scroll, spines=spines, segments=segments, catalogues=[("catalogue", catalogue)]), spark)
+    got = {(r["doc_id"], r["title"], r["year"]): r["status"] for r in out["entries"].collect()}
+    assert got[1, "Sapiens", 2011] == "confirmed" and got[1, "Facing Reality", 1970] == "confirmed" and got[2, "Facing Reality", 2021] == "confirmed"
+    assert {k for k in got if k[0] == 2} == {(2, "Facing Reality", 2021)}
+    shown = {(r["doc_id"], r["text"]): (r["cited"], r["heard"]) for r in out["shown"].collect()}
+    assert len(shown) == out["shown"].count() == 4
+    assert shown == {(1, "Sapiens"): (True, True), (1, "Facing Reality"): (False, False), (2, "Facing Reality"): (True, False), (2, "HARARI"): (False, False)}
+    text = {r["doc_id"]: r["text"] for r in report(out).collect()}
+    assert "## Verified titles" in text[1] and "Eccles" in text[1] and "Eccles" not in text[2]
+
+
+def test_alternatives_of_a_spine(spark):
+    from tesserae.plans.pipeline import alternatives
+
+    variants = {"LOSINC THE RACE": 0.9, "LOSING THE RACF": 0.5, "x LOSING THE RACE": 0.4}
+    shown = spark.createDataFrame([(1, 0, "LOSINC THE RACE", "spine", 0.9, list(variants), variants), (1, 1, "LOSINGGROUND", "spine", 0.5, ["LOSINGGROUND"], {"LOSINGGROUND": 0.5}), (1, 2, "DENNETT", "spine", 0.8, [], {}), (1, 3, "  ", "spine", 0.8, [], {}), (1, 4, "a cover", None, None, None, None)], "doc_id long, ord long, text string, source string, conf double, variants array<string>, variant_confs map<string,double>")
+    got = {r["ord"]: r for r in alternatives(shown, spark.createDataFrame([(1, "the losing race")], "doc_id long, text string")).collect()}
+    assert set(got) == {0, 1, 4} and got[1]["phrase"] == "LOSING GROUND" and got[4]["alts"] == []
+    assert got[0]["alts"][0] == "LOSING THE RACF" and "LOSING THE RACE" in got[0]["alts"] and len(got[0]["alts"]) <= 12 and len(set(got[0]["alts"])) == len(got[0]["alts"])
 
 
 def test_lineage_and_export(spark):
