@@ -134,28 +134,42 @@ def test_mixing(spark, docs):
     assert mixing.stage(spark, docs.where("doc_id IS NOT NULL"), "").columns == docs.columns
 
 
-def test_suffix_dedup(spark, docs):
-    texts = [(r[0], (r[1] or "").encode()) for r in corpus()]
-    seen = collections.Counter(t[i : i + 200] for _, t in texts for i in range(len(t) - 199))
+def removed_by_hand(rows, length):
+    texts = [(r[0], (r[1] or "").encode()) for r in rows]
+    seen = collections.Counter(t[i : i + length] for _, t in texts for i in range(len(t) - length + 1))
     want = collections.Counter()
     for d, t in texts:
         gone = np.zeros(len(t), bool)
-        for i in range(len(t) - 199):
-            if seen[t[i : i + 200]] > 1:
-                gone[i : i + 200] = True
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = True
         runs = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         want[(d, len(t), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest())] += 1
-    assert collections.Counter(tuple(r) for r in suffix_dedup._dedup(docs, 200, True).collect()) == want
+    return want
+
+
+def test_suffix_dedup(spark, docs):
+    assert collections.Counter(tuple(r) for r in suffix_dedup._dedup(docs, 200, True).collect()) == removed_by_hand(corpus(), 200)
     assert suffix_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_of_runs_and_long_texts(spark, monkeypatch):
+    r = random.Random(7)
+    some = lambda k: "".join(r.choices("abcdefgh ", k=k))
+    long, passage = some(9000), some(700)
+    rows = [(1, "x" * 3000), (2, "y" * 250), (3, "y" * 199 + "z"), (4, "ab" * 700 + passage), (5, long), (6, some(40) + long[1500:6500] + "!"), (7, passage[:199]), (8, passage[3:]), (9, some(300) + passage[100:420] + some(300)), (None, passage[10:]), (11, long + long[-250:])]
+    rows = [(d, t, "en", "s", 0, "k") for d, t in rows]
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
+    monkeypatch.setattr(suffix_dedup, "UNIT", 4000)
+    assert collections.Counter(tuple(x) for x in suffix_dedup._dedup(spark.createDataFrame(rows, COLUMNS).repartition(3), 200, True).collect()) == removed_by_hand(rows, 200)
+
+
 def test_long_texts_are_read_in_segments(monkeypatch):
     r = random.Random(3)
     a = bytes(r.choices(b"abcd ", k=5000))
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
-    parts = list(suffix_dedup._segments([a, b"x" * 50], 200))
-    starts = sorted(o + k for which, offsets, bits in parts for w, o, b in zip(which, offsets, bits) if w == 0 for k in range(len(b) - 199))
-    assert starts == list(range(len(a) - 199))
+    lo, n, _ = suffix_dedup.find_blocks([a, b"x" * 50, a[:300]], 200)
+    assert sorted(s + k for s, m in zip(lo.tolist(), n.tolist()) for k in range(m)) == [*range(len(a) - 199), *range(len(a) + 50, len(a) + 50 + 101)]
 
 
 def test_jpeg_round_trip():
