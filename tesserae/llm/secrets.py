@@ -1,7 +1,9 @@
 """Operator 8: secret scans, with a random forest that removes false positives.
 
 A pattern over the whole text finds candidates: long runs of key characters that hold a digit, both
-cases or a known key's prefix, and values assigned to names that hold `token`, `password` and the like. A random forest (bagged Gini trees, in numpy)
+cases or a known key's prefix, values assigned to names that hold `token`, `password` and the like, what
+stands behind `Bearer` or between a user's name and the host in an address, and the body of a private key
+block, whole. A random forest (bagged Gini trees, in numpy)
 judges each by its length, its character transitions (how letters, digits and cases alternate, and a
 bigram model's surprise), the share of it that dictionary words cover, its surroundings (path or
 address characters) and the neighbouring words.
@@ -35,6 +37,8 @@ _RUN = re.compile(r"[A-Za-z0-9+/=_\-]{16,}")
 _WORD = re.compile(r"(?i)passw(?:or)?d|passphrase|pwd|secret|token|(?:api|access|private|encryption|signing)[_-]?key|auth|credential")
 _SUFFIX = re.compile(r"[\w.\-]*")
 _VALUE = re.compile(r"[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"'<>,;]{6,})")
+#: An address's password, a bearer token, a private key's body: each found by what stands around it.
+_AROUND = (("://", re.compile(r"://[^\s/:@]{0,64}:([^\s/@]{3,256})@")), ("earer", re.compile(r"\b[Bb]earer\s{1,3}([A-Za-z0-9._~+/=\-]{8,})")), ("PRIVATE KEY", re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----([A-Za-z0-9+/=\s]{16,})")))
 _KEYS = ("pass", "pwd", "secret", "token", "key", "auth", "credential")
 _PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[_-]|pk_|rk_|AIza|glpat-|eyJ|ya29")
 _DIGIT, _LOWER, _UPPER = re.compile(r"[0-9]"), re.compile(r"[a-z]"), re.compile(r"[A-Z]")
@@ -68,6 +72,11 @@ def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of the candidates, in order, none inside another."""
     low = text.lower()
     found = list(_assigned(text)) if any(k in low for k in _KEYS) else []
+    for sign, around in _AROUND:
+        for m in around.finditer(text) if sign in text else ():
+            s = m.start(1) + len(m[1]) - len(m[1].lstrip())
+            found.append((s, s + max(1, len(m[1].strip()))))
+    found.sort()
     # a run that holds a name and its value is two: the value is judged without its name
     starts, at = [s for s, _ in found], 0
     for m in _RUN.finditer(text):
@@ -212,6 +221,31 @@ def labelled_findings(n: int = 4000, seed: int = 8) -> list[tuple[str, str, str,
         else:
             before, value = prose() + " ", r.choice(("sk-", "sk_", "pk_", "rk_")) + r.choice("_-").join(word() for _ in range(r.randint(3, 6)))
         out.append((before, value, " " + prose(), 0))
+    # what stands behind other signs than an assignment, and assigned passwords that people make up
+    r = random.Random(seed + 2)
+    host = lambda: word() + r.choice((".example.com", ".internal", ":5432", ".local:6379"))
+    made = lambda: r.choice((word() + pick(string.digits, r.randint(1, 4)) + word(), word().title() + pick("!@#$%", 1) + pick(string.digits, r.randint(1, 4)), word() + r.choice("-_.") + word() + pick(string.digits, 2), syllable().title() + pick(alnum, r.randint(4, 10))))
+    for _ in range(n // 8):
+        kind = r.randrange(4)
+        if kind == 0:
+            before, value, after = f"{prose()} {r.choice(('postgres', 'mysql', 'redis', 'amqp', 'https', 'mongodb+srv'))}://{r.choice((word(), 'admin', ''))}:", r.choice((made(), pick(alnum, r.randint(8, 24)))), f"@{host()}/{word()}"
+        elif kind == 1:
+            before, value, after = f"{prose()} {r.choice(('Authorization: ', 'authorization=', ''))}{r.choice(('Bearer ', 'bearer '))}", r.choice((pick(alnum, r.randint(16, 48)), pick(string.ascii_lowercase, r.randint(12, 40)), pick(alnum + "-_", 32))), " " + prose()
+        elif kind == 2:
+            before, value, after = f"-----BEGIN {r.choice(('RSA ', 'EC ', 'OPENSSH ', ''))}PRIVATE KEY-----\n", "\n".join(pick(alnum + "+/", 64) for _ in range(r.randint(1, 20))), "\n-----END"
+        else:
+            before, value, after = f"{prose()} {r.choice(('password', 'passwd', 'db_password', 'PASSWORD', 'pwd'))}{r.choice((': ', '=', ' = '))}", made(), r.choice((" ", "\n", '"')) + prose()
+        out.append((before, value, after, 1))
+        kind = r.randrange(4)
+        if kind == 0:
+            before, value, after = f"{prose()} {r.choice(('postgres', 'https', 'redis'))}://{r.choice(('user', 'username', 'admin'))}:", r.choice(("password", "pass", "<password>", "${PASSWORD}", "xxxxxxxx", "changeme", "your_password_here", "********")), f"@{host()}/{word()}"
+        elif kind == 1:
+            before, value, after = f"{prose()} bearer ", "".join(syllable() for _ in range(r.randint(3, 5))), " " + prose()
+        elif kind == 2:
+            before, value, after = f"{prose()} {r.choice(('password', 'passwd', 'pwd'))}{r.choice((': ', '=', ' = '))}", r.choice(("required", "incorrect", "<redacted>", "[SECRET]", "********", "placeholder", "getpass.getpass()", "os.environ[", "process.env.PASSWORD", "$PASSWORD", "must-contain")), " " + prose()
+        else:
+            before, value, after = f"{prose()} ", r.choice("-_").join(word() for _ in range(r.randint(4, 7))) + pick(string.digits, 1), " " + prose()
+        out.append((before, value, after, 0))
     return out
 
 
