@@ -1,7 +1,7 @@
 """Operator 9: packing documents into sequences of a fixed length.
 
 Token ids are made next to the scan and never shuffled: what moves are piece descriptions (document,
-start, length, checksum). Documents fall into randomised groups by a hash of their id; each group is
+start, length, checksum). Pieces fall into randomised groups by a hash of their row, so rows of one id or without id spread; each group is
 packed on its own by first-fit decreasing, where a tournament tree over the free room of the group's
 sequences finds the first one that fits in logarithmic time. A group holds a bounded number of
 documents on average, whatever the table's size.
@@ -180,7 +180,7 @@ def pieces(docs: DataFrame, paths: tuple[str, str], length: int = SEQUENCE, end_
 def pack(docs: DataFrame, paths: tuple[str, str], length: int = SEQUENCE, end_id: int = END_ID, group_docs: int = GROUP_DOCS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     groups = max(1, -(-docs.count() // group_docs))
-    cuts = pieces(docs, paths, length, end_id).withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(groups)))
+    cuts = pieces(docs, paths, length, end_id).withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", F.lit(9)), F.lit(groups)))
     return cuts.groupBy("group").applyInPandas(functools.partial(_pack, length=length), f"{PIECES}, sequence_id long, offset long")
 
 
