@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,10 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the cluster's shared folder; sets one only where none is named, as in local tests."""
+    """Takes the cluster's shared folder; only where none is named, as in local tests, sets one beside the
+    warehouse, which is shared as well."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def sweep(spark: SparkSession) -> None:
@@ -52,6 +54,17 @@ def shelve(df: DataFrame) -> tuple[DataFrame, Callable[[], object]]:
     return spark.read.schema(df.schema).parquet(folder), lambda: path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns memory that a worker no longer uses to the system: workers live on between tasks, and several
+    stand beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -59,6 +72,7 @@ def word_count(text: Column) -> Column:
 
 def text_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of at most about `limit` bytes of text, one row at least, with the texts as UTF-8 (null: empty)."""
+    give_back()
     for batch in batches:
         at = batch.schema.get_field_index(column)
         values = batch.column(at).cast(pa.large_binary())
@@ -71,6 +85,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_
             total += int(n)
         if start < batch.num_rows:
             yield batch.slice(start), [v.as_py() or b"" for v in values.slice(start)]
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

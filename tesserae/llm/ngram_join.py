@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import connected_components, cut, mix64, shelve, sweep, table, text_batches
+from .common import connected_components, cut, give_back, mix64, shelve, sweep, table, text_batches
 
 SIZE = 4
 PERCENT = 85
@@ -173,6 +173,7 @@ def _read_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple
             rows = one.column(one.schema.get_field_index("rows")).flatten()
             texts = [unpack.decompress(z.as_py()) for z in rows.field("packed")]
             yield one, rows, shingle_sets(texts, size)
+    give_back()
 
 
 def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +205,7 @@ def _rank(t: pa.Table) -> pa.Table:
     _, at = np.unique(np.concatenate(told), return_inverse=True)
     ranks = frequency_ranks(np.bincount(at, counts))[at]
     ends = np.cumsum([len(x) for x in told])
+    give_back()
     return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "ranks": pa.array([press.compress(ranks[e - len(x) : e].tobytes()) for e, x in zip(ends, told, strict=True)], pa.binary())})
 
 

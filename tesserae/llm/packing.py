@@ -12,7 +12,7 @@ it holds is a power of two.
 Ids equal those of the whole text: the pre-tokeniser always breaks before a single blank that stands
 between two characters that are not white space, so text falls into blank-led units whose ids do not
 depend on their neighbours. Units repeat, so the ids of the first
-half million are kept in each worker. Text with other
+`KEPT_UNITS` are kept in each worker. Text with other
 white space next to a blank is encoded whole.
 
 Defined results: null or empty text has the end id alone; a repeated row is a document of its own;
@@ -40,7 +40,7 @@ SEQUENCE = 2048
 END_ID = 1
 GROUP_DOCS = 4096
 #: Units whose ids a worker keeps.
-KEPT_UNITS = 500_000
+KEPT_UNITS = 150_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, shelve, sweep, table, text_batches
+from .common import give_back, mix64, shelve, sweep, table, text_batches
 
 LENGTH = 200
 WINDOW = 80
@@ -275,6 +275,7 @@ def _read_units(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[Unit
     for batch in batches:
         for i in range(batch.num_rows):
             yield Unit(batch.slice(i, 1).to_pylist()[0], length)
+    give_back()
 
 
 def _tell(batches: Iterator[pa.RecordBatch], number: int, length: int, bits: int) -> Iterator[pa.RecordBatch]:
