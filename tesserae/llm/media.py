@@ -29,12 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import shelve, table, text_batches
 
 UNIT = 192
 RESTART = 8
 BATCH_BYTES = 3_000_000
+#: Parts of the documents that `digests` stores one after the other.
+PARTS = 4
 #: Fixed values of the format: coefficients in zigzag order, row by row.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 #: (components, first coefficient, last, high bit, low bit) of the scans written.
@@ -520,9 +523,17 @@ class Image:
 
 
 def tensors_of(images: list[Image]) -> list[np.ndarray]:
-    """Full-resolution RGB tensors; the blocks of all images are inverse-transformed at once."""
+    """Full-resolution RGB tensors; the blocks of all images are inverse-transformed at once.
+
+    The transform has integer factors (1,024ths), and its sums stay where floating point holds integers
+    exactly, so a tensor does not depend on the batch, the processor or the order of its sums."""
     blocks = [p.reshape(-1, 64) * m.head["quant"][q].astype(np.int16) if (m.head["quant"][q] != 1).any() else p.reshape(-1, 64) for m in images for (_, _, _, q), p in zip(m.head["components"], m.planes, strict=True)]
-    pixels = np.concatenate(blocks).astype(np.float32) @ _INVERSE if blocks else np.zeros((0, 64), np.float32)
+    if blocks:
+        coef = np.concatenate(blocks)
+        kind = np.float32 if int(np.abs(coef).max(initial=0)) * _GAIN < 1 << 24 else np.float64
+        pixels = (np.clip(coef.astype(kind) @ _INVERSE.astype(kind), -(1 << 24), (1 << 24) - 1).astype(np.int32) + 512) >> 10
+    else:
+        pixels = np.zeros((0, 64), np.int32)
     out, at = [], 0
     for m in images:
         head, full = m.head, []
@@ -535,14 +546,15 @@ def tensors_of(images: list[Image]) -> list[np.ndarray]:
         up = lambda x, v, h: np.broadcast_to(x[:, None, :, None], (x.shape[0], v, x.shape[1], h)).reshape(x.shape[0] * v, x.shape[1] * h)
         y, *chroma = full
         y = up(*y) if y[1:] != (1, 1) else y[0]
-        rgb = np.empty((*y.shape, 3), np.float32)
-        y = y + 128.5
+        rgb = np.empty((*y.shape, 3), np.int32)
+        y = y + 128
         if chroma:
-            # what chroma adds is worked out before it is upsampled
+            # what chroma adds is worked out before it is upsampled: 1.402, 0.344136, 0.714136 and 1.772, in 65,536ths
             (cb, *f), (cr, *g) = chroma
-            rgb[:, :, 0] = y + up(1.402 * cr, *g)
-            rgb[:, :, 1] = y - up(0.344136 * cb + 0.714136 * cr, *f) if f == g else y - up(0.344136 * cb, *f) - up(0.714136 * cr, *g)
-            rgb[:, :, 2] = y + up(1.772 * cb, *f)
+            share = lambda x: (x + 32768) >> 16
+            rgb[:, :, 0] = y + up(share(91881 * cr), *g)
+            rgb[:, :, 1] = y - up(share(22553 * cb + 46802 * cr), *f) if f == g else y - up(share(22553 * cb), *f) - up(share(46802 * cr), *g)
+            rgb[:, :, 2] = y + up(share(116130 * cb), *f)
         else:
             rgb[:] = y[:, :, None]
         np.clip(rgb, 0, 255, out=rgb)
@@ -551,13 +563,15 @@ def tensors_of(images: list[Image]) -> list[np.ndarray]:
 
 
 def _inverse() -> np.ndarray:
-    """Coefficients in zigzag order times this are pixels."""
+    """Coefficients in zigzag order times this are pixels, times 1,024."""
     x = np.arange(8)
     a = np.cos((2 * x[:, None] + 1) * x[None, :] * np.pi / 16) * np.where(x == 0, np.sqrt(1 / 8), 0.5)
-    return np.einsum("xu,yv->uvxy", a, a).reshape(64, 64)[ZIGZAG].astype(np.float32)
+    return np.round(1024 * np.einsum("xu,yv->uvxy", a, a).reshape(64, 64)[ZIGZAG])
 
 
 _INVERSE = _inverse()
+#: A pixel's sum is at most the largest coefficient times this.
+_GAIN = int(np.abs(_INVERSE).sum(0).max())
 
 
 def decode(files: list[bytes]) -> list[Image]:
@@ -661,7 +675,22 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def digests(docs: DataFrame, parts: int = PARTS) -> DataFrame:
+    """Digests of what `store` wrote to the shared folder and `decode` reads back from there. Media take up
+    more room than their compressed texts, so a part of the documents at a time is written, read and
+    dropped; what is left are the digests."""
+    part = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts))
+    out = None
+    for k in range(parts):
+        written, drop = shelve(store(docs.where(part == k)))
+        read, _ = shelve(written.mapInArrow(_digest, _DIGESTS))
+        drop()
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of what `store` wrote and `tensors` reads, without sending the tensors on."""
-    media = store(table(spark, sf_dir, "documents"))
-    return media.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return digests(table(spark, sf_dir, "documents"))

@@ -193,10 +193,36 @@ def test_jpeg_flat_block_is_flat():
 
 
 def test_media_query(spark, docs):
-    d = media.store(docs).mapInArrow(media._digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").collect()
+    d = media.digests(docs, 2).collect()
     want = collections.Counter((r[0], hashlib.sha256(media.padded((r[1] or "").encode())).hexdigest(), zlib.crc32(media.padded((r[1] or "").encode())[-16:])) for r in corpus())
     assert collections.Counter((r["doc_id"], r["payload_sha256"], r["tail_crc32"]) for r in d) == want
-    assert media.store(empty(spark)).count() == 0
+    by_payload = collections.defaultdict(set)
+    for r in d:
+        by_payload[r["payload_sha256"]].add((r["media_sha256"], r["feature"]))
+    assert all(len(x) == 1 for x in by_payload.values())
+    assert media.digests(empty(spark), 2).count() == 0
+    rows = {r["doc_id"]: r for r in media.tensors(media.store(docs)).collect()}
+    assert rows[1003]["height"] * rows[1003]["width"] * 3 == len(rows[1003]["rgb"])
+
+
+def test_pixels_are_those_of_the_plain_transform():
+    """Pixel by pixel from the coefficients, as the format's standard has it."""
+    m = media.decode(media.encode([media.padded(bytes(np.random.default_rng(3).integers(120, 137, 2000, dtype=np.uint8)))]))[0]
+    x = np.arange(8)
+    a = np.cos((2 * x[:, None] + 1) * x[None, :] * np.pi / 16) * np.where(x == 0, np.sqrt(1 / 8), 0.5)
+    planes = []
+    for p in m.planes:
+        rows, cols = p.shape[:2]
+        out = np.zeros((rows * 8, cols * 8))
+        for i in range(rows):
+            for j in range(cols):
+                c = np.zeros(64)
+                c[media.ZIGZAG] = p[i, j]
+                out[8 * i : 8 * i + 8, 8 * j : 8 * j + 8] = a @ c.reshape(8, 8) @ a.T
+        planes.append(out)
+    y, cb, cr = planes[0] + 128, *(np.kron(p, np.ones((2, 2))) for p in planes[1:])
+    want = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 2)[: m.head["height"], : m.head["width"]]
+    assert np.abs(m.rgb().astype(float) - np.clip(want, 0, 255)).max() <= 2
 
 
 def test_token_counts(spark, docs):
