@@ -1,16 +1,19 @@
 """Operator 10: exact top-k inner products, score at a time over an impact-ordered index.
 
-Index. Vectors (integer components) are dealt into blocks. A block's postings are split by the
-quantised size of their impact, the bit length of the component: level b holds the postings with
-2^(b-1) <= |impact| < 2^b. Levels are stored from the highest impact down, with the norm of what
-the lower levels leave of each vector.
-
-Search. Each block meets each batch of queries once. Levels are added to the scores in descending
-impact; after each, the part of a score that is still to come is at most the query's norm times the
-rest's norm (Cauchy and Schwarz). The k-th best of the lower bounds proves which vectors can no
-longer enter; once the possible members are few, or nothing is left, they are rescored exactly from
-the full vectors. Nothing stops without that proof, so the result is exact. Blocks give their k best,
-and those are merged per query with an aggregate that keeps k rows (it combines before the shuffle).
+Index. Vectors (integer components) are dealt into blocks. A component is a posting (dimension, vector,
+impact). A block's postings are quantised by the bit length of their impact: segment b holds those with
+2^(b-1) <= |impact| < 2^b, dimension by dimension. Segments are kept from the highest impact down, each
+with the norm of what the lower ones leave of each vector.
+
+Search. A query takes a block's segments in descending impact and adds query component times impact to
+the accumulators of the vectors they name. After each, the part of a score that is still to come is at most
+the query's norm times the rest's norm (Cauchy and Schwarz), plus what rounding can come to. The k-th best
+of the lower bounds proves which vectors can no longer enter; once the possible members are few, or nothing
+is left, they are rescored exactly from the full vectors. Nothing stops without that proof, so the result
+is exact.
+
+Blocks of vectors meet batches of queries in tiles, so a task holds one of each however many there are;
+their k best are merged per query by a ranking that Spark cuts to k rows before the shuffle and after.
 
 Defined results: null vectors and vectors with null or non-finite components take no part, on either
 side; vectors of another length than the query's are no candidates for it; equal scores rank by
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -47,43 +50,51 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
 
 
 def build(ids: np.ndarray, matrix: np.ndarray) -> dict:
-    """Levels of one block: for each bit length, highest first, the postings and the norms of the rest."""
+    """The posting segments of one block, highest impact first: (dimensions, vectors, impacts, the norms of
+    the rest)."""
     bits = np.frexp(np.abs(matrix))[1]
-    levels, rest = [], matrix.copy()
-    for b in range(int(bits.max(initial=0)), 0, -1):
-        at = bits == b
-        if at.any():
-            level = np.where(at, matrix, 0.0)
-            rest = rest - level
-            levels.append((level, np.sqrt((rest * rest).sum(1))))
-    return {"ids": ids, "matrix": matrix, "levels": levels}
+    dims, rows = np.nonzero(matrix.T)  # dimension by dimension
+    impacts, level = matrix[rows, dims], bits[rows, dims]
+    squares = np.bincount(rows, impacts * impacts, len(ids))
+    segments = []
+    for b in np.unique(level)[::-1]:
+        own = level == b
+        d, r, x = dims[own], rows[own], impacts[own]
+        squares = np.maximum(0.0, squares - np.bincount(r, x * x, len(ids)))
+        segments.append((d, r, x, squares))
+    if segments:
+        segments[-1] = (*segments[-1][:3], np.zeros(len(ids)))
+    norms = np.sqrt((matrix * matrix).sum(1))
+    # a difference of squares is off by some roundings of the whole square
+    off = norms * np.sqrt(8 * (matrix.shape[1] + 2) * np.finfo(np.float64).eps)
+    segments = [(d, r, x, np.where(rest > 0, np.sqrt(rest) + off, 0.0) if k == len(segments) - 1 else np.sqrt(rest) + off) for k, (d, r, x, rest) in enumerate(segments)]
+    return {"ids": ids, "matrix": matrix, "segments": segments, "norms": norms}
 
 
 def search(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, score) of the k best of the block for each query."""
-    ids, matrix, levels = index["ids"], index["matrix"], index["levels"]
-    n = len(ids)
-    norms = np.sqrt((queries * queries).sum(1))
-    scores = np.zeros((len(queries), n))
-    # more than the rounding of a score and of the norms can come to, whatever the order of the sums
-    rounding = (8 * (matrix.shape[1] + len(levels) + 2) * np.finfo(np.float64).eps) * norms[:, None] * np.sqrt((matrix * matrix).sum(1))[None, :]
-    own = np.isin(query_ids, ids)
-    same = [(r, np.flatnonzero(ids == query_ids[r])) for r in np.flatnonzero(own)]
-    keep = min(n, k + max((len(x) for _, x in same), default=0))
-    possible = None
-    for level, rest in levels:
-        scores += queries @ level.T
-        slack = norms[:, None] * rest[None, :] + rounding
-        low = scores - slack
-        kth = -np.partition(-low, keep - 1, axis=1)[:, keep - 1]
-        possible = scores + slack >= kth[:, None]
-        if possible.sum() <= 4 * keep * len(queries):
-            break
-    if possible is None:  # all impacts are 0
-        possible = np.ones((len(queries), n), bool)
-    for r, at in same:
-        possible[r, at] = False
-    rows, cols = np.nonzero(possible)
+    ids, matrix, segments = index["ids"], index["matrix"], index["segments"]
+    n, out_rows, out_cols = len(ids), [], []
+    by_id = np.argsort(ids, kind="stable")
+    first, last = (np.searchsorted(ids[by_id], query_ids, side) for side in ("left", "right"))
+    # more than the rounding of a score can come to, whatever the order of its sums
+    rounding = 8 * (matrix.shape[1] + len(segments) + 2) * np.finfo(np.float64).eps * index["norms"]
+    for row, q in enumerate(queries):
+        norm, own = float(np.sqrt(q @ q)), by_id[first[row] : last[row]]
+        keep = min(n, k + len(own))
+        scores, possible = np.zeros(n), np.arange(n)
+        for dims, rows, impacts, rest in segments:
+            scores += np.bincount(rows, q[dims] * impacts, n)
+            slack = norm * (rest + rounding)
+            low = scores - slack
+            bar = np.partition(low, n - keep)[n - keep]
+            possible = np.flatnonzero(scores + slack >= bar)
+            if len(possible) <= 4 * keep:
+                break
+        possible = possible[~np.isin(possible, own)] if len(own) else possible
+        out_rows.append(np.full(len(possible), row))
+        out_cols.append(possible)
+    rows, cols = np.concatenate([*out_rows, np.zeros(0, np.int64)]), np.concatenate([*out_cols, np.zeros(0, np.int64)])
     exact = _exact(queries, matrix, rows, cols)
     place = exact if exact.dtype != object else np.unique(exact, return_inverse=True)[1]
     order = np.lexsort((ids[cols], -place, rows))
@@ -142,14 +153,15 @@ def _binary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of (vec_id, v) rows: the k highest integer inner products."""
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    packed = vectors.mapInPandas(_binary, "vec_id long, v binary, dims int").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
-    asked = queries.mapInPandas(_binary, "vec_id long, v binary, dims int").distinct()
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = packed.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(functools.partial(_search_block, k=k), "query_id long, vec_id long, score long, side int, wide string")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("side", (-F.col("score")).alias("s"), "wide", "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.when(F.col("b.side") == 0, -F.col("b.s")).alias("score"))
+    pack = lambda df: df.mapInPandas(_binary, "vec_id long, v binary, dims int")
+    deal = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)))
+    meet = lambda df, n, name: df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    blocks, batches = (max(1, -(-df.count() // block)) for df in (vectors, queries))
+    packed = meet(deal(pack(vectors), blocks, "block"), batches, "batch")
+    asked = meet(deal(pack(queries).distinct(), batches, "batch"), blocks, "block")
+    found = packed.groupBy("block", "batch").cogroup(asked.groupBy("block", "batch")).applyInPandas(functools.partial(_search_block, k=k), "query_id long, vec_id long, score long, side int, wide string")
+    best = Window.partitionBy("query_id").orderBy("side", F.desc("score"), "wide", "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.when(F.col("side") == 0, F.col("score")).alias("score"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

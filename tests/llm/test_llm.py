@@ -455,3 +455,21 @@ def test_secrets_of_odd_rows(spark, docs):
     text = "a token = \"f6f4b6c25fd9db1a3d0f51bedd389b0833f73c65\" b"
     twice = spark.createDataFrame([(None, text, "x"), (1, text, "x"), (1, text, "x"), (2, "word " * 400_000 + text, "x")], "doc_id long, text string, secrets string")
     assert [r["n_secrets"] for r in secrets.scan(twice, secrets.train()).collect()] == [1, 1, 1, 1]
+
+
+@pytest.mark.parametrize("scale", [2.0, 2.0**18])
+def test_top_k_in_many_dimensions(scale):
+    r = np.random.default_rng(9)
+    m = np.floor(r.normal(0, scale, (200, 768)) * r.choice([1, 1, 64], (1, 768)))
+    m[7], m[9] = m[3], 0
+    rows, ids, scores = topk.search(topk.build(np.arange(200), m), np.arange(6), m[:6], 20)
+    want = by_hand(list(enumerate(m)), list(enumerate(m[:6])), 20)
+    assert all([(-s, i) for s, i in zip(scores[rows == q].tolist(), ids[rows == q].tolist(), strict=True)] == want[q] for q in range(6))
+
+
+def test_top_k_of_odd_rows(spark):
+    schema = "vec_id long, embedding array<double>"
+    assert topk.top_k(topk.quantised(spark.createDataFrame([], schema)), topk.quantised(spark.createDataFrame([], schema))).count() == 0
+    q = topk.quantised(spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.0, 0.0])], schema))
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(q, q.where("vec_id % 20 = 0"), 3, 1).orderBy("rank").collect()]
+    assert got == [(20, 1, 1, 2048), (20, 2, 1, 2048), (20, 3, 2, 0)]
