@@ -30,10 +30,10 @@ JUNK_AUTHOR = r"(?i)phone number|database|catalog|list|directory|index"
 ARTICLE_MARK = r"(?i)[\"“”]|journal|proceedings|proc\.|nature|science|psychology|behaviour|behavior|entropy|genetics|ssrn|vol\.|no\."
 ENTRY_START = r"^[A-Z][a-zA-Z'’-]+,"
 YEAR = r"(1[6-9]\d{2}|20\d{2})"
-RUN = r"\b([A-Z][\w'’-]*(?:\s+(?:[A-Z][\w'’-]*|" + "|".join(sorted(CONNECTORS)) + r")){1,6})"
+RUN = r"(?U)\b([A-Z][\w'’-]*(?:\s+(?:[A-Z][\w'’-]*|" + "|".join(sorted(CONNECTORS)) + r")){1,6})"
 _TITLE = r"((?:[A-Z][\w'’-]*)(?:\s+(?:[A-Z][\w'’-]*|of|and|the|a|for|to|in)){0,5})"
-CUE = r"\b(?:in|reading|finished|finished reading|his|her|their|the|a)?\s*(?:book|books|memoir|essay collection)\s+(?:called|titled|by|named)?\s*" + _TITLE
-CUE_VERB = r"\b(?:writes|wrote|argues in|says in|author of|title of)\s+" + _TITLE
+CUE = r"(?U)\b(?:in|reading|finished|finished reading|his|her|their|the|a)?\s*(?:book|books|memoir|essay collection)\s+(?:called|titled|by|named)?\s*" + _TITLE
+CUE_VERB = r"(?U)\b(?:writes|wrote|argues in|says in|author of|title of)\s+" + _TITLE
 RULE_RANK = {"exact": 0, "prefix": 1, "fuzzy": 2}
 #: Share of a node's worth in the exploration tree, by id.
 IMPACT = {

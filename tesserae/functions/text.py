@@ -47,7 +47,7 @@ def significant(s: Column) -> Column:
 
 
 def proper_nouns(s: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(r"\b([A-Z][a-z]{2,})\b"), 1)
+    return F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(r"(?U)\b([A-Z][a-z]{2,})\b"), 1)
 
 
 def year_of(s: Column) -> Column:
@@ -101,7 +101,7 @@ def seconds(stamp: Column) -> Column:
 def squeeze(s: Column) -> Column:
     """Caption text without tags, repeated blanks and stuttered words."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(s, "<[^>]+>", " "), r"\s+", " "))
-    return F.regexp_replace(plain, r"\b(\w+)\s+\1\b", "$1")
+    return F.regexp_replace(plain, r"(?U)\b(\w+)\s+\1\b", "$1")
 
 
 def clean_phrase(s: Column) -> Column:

@@ -20,6 +20,16 @@ NODES = "id string, round string, parent string, intent string, action string, o
 GAZETTEER = "struct<phrase:string,matched_as:string,title:string,authors:array<string>,year:int,score:double,match_type:string,editions:int,freq:int,source:string,status:string,verified:boolean,context_ok:boolean,provenance:array<string>>"
 
 
+def label_schema() -> str:
+    """A label file as one struct."""
+    return f"struct<{_as_struct(LABELS)}>"
+
+
+def book_schema() -> str:
+    """A compiled report as one struct."""
+    return f"struct<gazetteer:array<{GAZETTEER}>,author_spines:array<string>>"
+
+
 def whole(spark: SparkSession, path: str) -> DataFrame:
     """(path, value): each file as one text."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")

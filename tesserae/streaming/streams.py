@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """With a watermark, which takes a timestamp with a zone."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def tumbling_counts(events: DataFrame, time: str = "ts", key: str = "event_type", size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """(start, key, n, total) of each window and key, once the window is over."""
-    grouped = events.withWatermark(time, late).groupBy(F.window(time, size), key)
+    grouped = _timed(events, time, late).groupBy(F.window(time, size), key)
     return grouped.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), key, "n", "total")
 
 
 def sessions(events: DataFrame, time: str = "ts", key: str = "user_id", gap: str = "2 hours", late: str = "10 minutes") -> DataFrame:
     """(key, start, end, n) of runs of events at most a gap apart."""
-    grouped = events.withWatermark(time, late).groupBy(F.session_window(time, gap), key)
+    grouped = _timed(events, time, late).groupBy(F.session_window(time, gap), key)
     return grouped.agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def first_seen(lines: DataFrame, time: str = "ts", keys: tuple[str, ...] = ("key",), late: str = "10 minutes") -> DataFrame:
     """Each key's first row within the watermark."""
-    return lines.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
+    return _timed(lines, time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def delayed_cuts(events: DataFrame, key: str = "user_id", value: str = "value", time: str = "ts", k: int = 5, spike: float = 150.0, stable: float = 35.0) -> DataFrame:

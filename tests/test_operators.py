@@ -71,6 +71,14 @@ def test_captions_and_entries(spark):
     assert [r["phrase"] for r in mining.cued_titles(said).collect()] == ["Sapiens"]
 
 
+def test_titles_with_accents(spark):
+    said = spark.createDataFrame([(1, 0, 0.0, "He praised Les Misérables Tome Premier again, and Émile wrote Thérèse Raquin."), (1, 1, 5.0, "in his book Ève Future she says")], "doc_id int, seq int, start double, text string")
+    assert "Les Misérables Tome Premier" in {r["phrase"] for r in mining.title_candidates(said).collect()}
+    assert "Thérèse Raquin" in {r["phrase"] for r in mining.cued_titles(said).collect()}
+    assert col(spark, ["été été là", "a Mis\u00e9rables Paris"], X.squeeze) == ["été là", "a Mis\u00e9rables Paris"]
+    assert col(spark, ["Misérables Paris Été"], X.proper_nouns) == [["Paris"]]
+
+
 DOCS = [("Losing Ground", ["Charles Murray"], 1984, 9), ("The Ethnic Dilemma", ["A B"], 1970, 4), ("Sapiens: A Brief History", ["Yuval Harari"], 2011, 40), ("Thin", ["X Y"], 1990, 1), ("Facing Reality", ["John Eccles"], 1970, 22), ("Facing Reality", ["Charles Murray"], 2021, 6)]
 
 
