@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import array
 import base64
-import collections
 import functools
 import os
 import zlib
@@ -88,19 +87,20 @@ class UnitEncoder:
                 out[k] = self.whole(text)
                 continue
             first, *rest = text.split(" ")
-            new = {p: None for p in rest if p not in led}
+            ids = list(map(led.get, rest))
+            new = {p: None for p, x in zip(rest, ids, strict=True) if x is None} if None in ids else {}
             if rest and (not first or first[-1].isspace()) or any(not p or p[0].isspace() or p[-1].isspace() for p in new):
                 out[k] = self.encode(text)
                 continue
             missing.update(new)
-            todo.append((k, first, rest))
+            todo.append((k, first, rest, ids, bool(new)))
         more = self._units(list(missing))
-        found = led if not more else collections.ChainMap(more, led)
+        for k, first, rest, ids, some in todo:
+            if some:
+                ids = [more[p] if x is None else x for p, x in zip(rest, ids, strict=True)]
+            out[k] = self.encode(first) + b"".join(ids)
         if len(led) < self.kept:
             led.update(more)
-            found = led
-        for k, first, rest in todo:
-            out[k] = self.encode(first) + b"".join(map(found.__getitem__, rest))
         return out
 
 
