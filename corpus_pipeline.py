@@ -11,12 +11,10 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm import mixing, ngram_join, packing, secrets, toxicity
-from tesserae.llm.common import ensure_checkpoint_dir, table
+from tesserae.llm.common import shelve, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -31,11 +29,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over documents; stages are written to the shared folder."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    """The last stage's rows over documents; each stage is written to the shared folder, and the one before
+    it deleted."""
+    docs, drop = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, done = shelve(stage(spark, docs, sf_dir))
+        if drop is not None:
+            drop()
+        drop = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -43,6 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, wherever it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def shelve(df: DataFrame) -> tuple[DataFrame, Callable[[], object]]:
     """The rows as Parquet in the shared folder, and what deletes them; columns that repeat take
     little room there."""
@@ -50,8 +56,7 @@ def shelve(df: DataFrame) -> tuple[DataFrame, Callable[[], object]]:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/shelf-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return spark.read.schema(df.schema).parquet(folder), lambda: path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return spark.read.schema(df.schema).parquet(folder), lambda: remove(spark, folder)
 
 
 def give_back() -> None:

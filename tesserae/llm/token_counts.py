@@ -2,8 +2,8 @@
 
 Texts up to `chunk` characters go to the library as they are. A longer one is encoded in chunks that
 overlap; offsets place each token in the text, and two neighbours are spliced at a character where
-both begin a token and which is proven stable. If an overlap has no such place, it is doubled until
-it has one or reaches the text's end.
+both begin a token and which is proven stable. If an overlap has no such place, or its two chunks do not
+agree on one, it is doubled until they do or it reaches the text's end.
 
 Proof of stability: the blank becomes the mark U+2581, merges only ever build pieces of the
 vocabulary, and when no piece has the mark after another character, no merge crosses from a
@@ -58,25 +58,19 @@ class Counter:
         total, at, n = 0, 0, len(text)
         # tokens of text[at:] are still to count; `at` is 0 or a stable place
         while True:
-            end, overlap = min(n, at + self.chunk), self.overlap
-            if end == n:
-                return total + len(self.sp.encode(text[self._begin(text, at) :]))
-            while True:
-                stop = min(n, end + overlap)
+            end, overlap = at + self.chunk, self.overlap
+            left_at, common = self._begin(text, at), None
+            while common is None:
+                stop = end + overlap
+                if stop >= n:
+                    return total + len(self.sp.encode(text[left_at:]))
                 places = [m.start() for m in _STABLE.finditer(text, end, stop)]
-                if places or stop == n:
-                    break
+                if len(places) > 1:
+                    left = self._spans(text[left_at:stop], left_at)
+                    right_at = self._begin(text, places[0])
+                    agreed = set(left) & set(self._spans(text[right_at:stop], right_at))
+                    common = next((p for p in places[1:] if p in agreed), None)
                 overlap *= 2
-            if not places:
-                return total + len(self.sp.encode(text[self._begin(text, at) :]))
-            left_at = self._begin(text, at)
-            left = self._spans(text[left_at:stop], left_at)
-            right_at = self._begin(text, places[0])
-            right = set(self._spans(text[right_at : min(n, places[0] + self.chunk)], right_at))
-            begun = set(left)
-            common = next((p for p in places[1:] if p in right and p in begun), None)
-            if common is None:  # the place itself is stable, but two chunks have to agree
-                common = places[0]
             total += sum(b < common for b in left)
             at = common
 

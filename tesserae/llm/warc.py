@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, table, text_batches
+from .common import ensure_checkpoint_dir, remove, shelve, table, text_batches
 
 #: Shorter payloads are never revisited.
 LEAST_SHARED = 100
@@ -109,7 +109,7 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> No
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     firsts = pages.where(F.col("n") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1").select("digest", "first")
-    # only the few shared digests move; pages meet them by digest, and a hot one can be split
+    # pages meet the shared digests by digest: if those are too many to be sent along, pages move, and a hot digest is split
     met = pages.join(firsts, "digest", "left")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
     met = met.select("page_id", "url", "html", "digest", refers.alias("refers_to"), F.monotonically_increasing_id().alias("nth"))
@@ -204,7 +204,9 @@ def archive_folder(spark: SparkSession) -> str:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = archive_folder(spark)
     write(table(spark, sf_dir, "pages"), path)
-    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out, _ = shelve(read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove(spark, path)
+    return out
 
 
 SQL = """

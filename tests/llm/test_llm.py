@@ -375,6 +375,32 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert now.where(F.col("length") > 2048).count() == 0
 
 
+def test_pipeline_run(spark, docs, tmp_path):
+    """From documents with null, empty and repeated rows to sequences: what each stage has to keep, by hand."""
+    from tokenizers import Tokenizer
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")  # no labels: no document is toxic
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    hand = components_by_hand(corpus(), 5, 80)
+    kept = {d: t for d, t, *_ in corpus() if d is None or hand[d][1] == d}
+    assert set(kept) >= {r["doc_id"] for r in rows} and {1000, 1001, 1002, None} <= {r["doc_id"] for r in rows}
+    tokenizer = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    ids = {d: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for d, t in kept.items()}
+    for r in rows:
+        x = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(x) and zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+    size = collections.Counter()
+    for d, t, _, s, *_ in {r[0]: r for r in corpus() if r[0] in kept}.values():
+        size[s] += len((t or "").split())
+    assert sum(r["length"] for r in rows) > 0 and corpus_pipeline.run(spark, str(tmp_path)).count() == len(rows)
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_secrets_without_digits_and_behind_suffixes():
     forest = secrets.train()
     hit = lambda t, v: any(t[s:e] == v and p >= 0.5 for s, e, p in secrets.judge([t], forest)[0])
@@ -473,3 +499,25 @@ def test_top_k_of_odd_rows(spark):
     q = topk.quantised(spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.0, 0.0])], schema))
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(q, q.where("vec_id % 20 = 0"), 3, 1).orderBy("rank").collect()]
     assert got == [(20, 1, 1, 2048), (20, 2, 1, 2048), (20, 3, 2, 0)]
+
+
+def test_empty_tables(spark):
+    none, paths = empty(spark), packing.tokenizer_paths()
+    assert token_counts.count_tokens(none, token_counts.model_path()).count() == 0
+    assert packing.pack(none, paths).count() == 0
+    assert ngram_join.stage(spark, none, "").count() == 0
+    assert toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int")).table is None
+
+
+def test_chunks_that_do_not_agree_are_widened(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.model_path())
+    c = token_counts.Counter(token_counts.model_path(), chunk=200, overlap=1)
+    seen = []
+    spans = c._spans
+    monkeypatch.setattr(c, "_spans", lambda t, at: seen.append(len(t)) or spans(t, at))
+    r = random.Random(1)
+    for text in ["".join(r.choices("ab é\n \u2581x", k=3000)), "word " * 900, "a" * 5000 + " b c", " ".join("".join(r.choices("abcdé", k=r.randint(1, 30))) for _ in range(300))]:
+        assert c([text]) == [len(sp.encode(text))]
+    assert max(seen) > 210
