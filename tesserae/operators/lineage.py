@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,9 @@ def rank(nodes: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(id, path, depth): from the root down to each node, by a recursive query. An unknown parent ends it."""
-    name = "_lineage_nodes"
+    """(id, path, depth): from the root down to each node, by a recursive query. An unknown parent ends it;
+    a tree of over 1,000 levels, or one that runs in a circle, is an error."""
+    name = f"_lineage_{uuid.uuid4().hex}"  # two calls at once do not see each other's nodes
     nodes.select("id", "parent").createOrReplaceTempView(name)
     return nodes.sparkSession.sql(f"""
         WITH RECURSIVE up (id, at, path, depth) MAX RECURSION LEVEL 1000 AS (

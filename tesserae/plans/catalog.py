@@ -142,7 +142,12 @@ def frame_distances(spark, d):
     return v.select("vec_id", F.round(ts.histogram_distance(mag(F.col("e")), mag(F.col("b"))), 6).alias("hist"), F.round(ts.pixel_share(far(F.col("e")), far(F.col("b"))), 6).alias("pixels"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
+f(user_id, pos, thr, hold, run, kept, cut) AS (
+ SELECT user_id, pos, thr, hold, 0, value, true FROM e, (VALUES (100.0::DOUBLE, 3), (200.0::DOUBLE, 1)) s(thr, hold) WHERE pos = 0
+ UNION ALL SELECT user_id, pos, thr, hold, CASE WHEN run >= hold THEN 0 ELSE run END, CASE WHEN run >= hold THEN value ELSE kept END, run >= hold FROM (
+  SELECT e.user_id, e.pos, f.thr, f.hold, e.value, f.kept, CASE WHEN abs(e.value - f.kept) > f.thr THEN f.run + 1 ELSE 0 END AS run FROM f JOIN e ON e.user_id = f.user_id AND e.pos = f.pos + 1))
+SELECT user_id, thr, hold::INTEGER AS hold, pos::INTEGER AS pos FROM f WHERE cut""")
 def hold_detector(spark, d):
     e = ts.positions(_t(spark, d, "events").select("user_id", "event_id", "ts", "value"), "user_id", "ts", "event_id")
     return ts.hold_detector(e, "user_id", lambda a, b: F.abs(a - b), "value", [(100.0, 3), (200.0, 1)])
@@ -254,7 +259,13 @@ def caption_diff(spark, d):
     return mining.new_words(cues, "conv_id").select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT conv_id, turn, text FROM conversations WHERE text <> ''), p AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM s),
+n AS (SELECT conv_id, turn, trim(CASE WHEN b IS NOT NULL AND starts_with(text, b) THEN substr(text, length(b) + 1) ELSE text END, ' ') AS text FROM p),
+r AS (SELECT conv_id, text, turn * 2.0::DOUBLE AS a, turn * 2.0::DOUBLE + 2 AS z, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM n WHERE text <> ''),
+f(conv_id, k, seg, a, z, text) AS (SELECT conv_id, k, 0, a, z, text FROM r WHERE k = 1
+ UNION ALL SELECT r.conv_id, r.k, f.seg + o.o::INTEGER, CASE WHEN o.o THEN r.a ELSE f.a END, r.z, CASE WHEN o.o THEN r.text ELSE trim(f.text || ' ' || r.text, ' ') END
+  FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k + 1, LATERAL (SELECT len(regexp_split_to_array(f.text, '\s+')) >= 10 OR f.z - f.a > 6.0 AS o) o)
+SELECT conv_id, seg::INTEGER AS seq, arg_max(a, k) AS "start", arg_max(z, k) AS "end", arg_max(text, k) AS text FROM f GROUP BY conv_id, seg""")
 def caption_segments(spark, d):
     t = F.col("turn").cast("double")
     cues = _t(spark, d, "conversations").select("conv_id", F.col("turn").alias("seq"), (t * 2).alias("start"), (t * 2 + 2).alias("end"), "text")
@@ -269,6 +280,18 @@ def vtt_cues(spark, d):
     return mining.caption_cues(spark.createDataFrame([("a", _VTT)], "path string, value string")).select("seq", "start", "end", "text")
 
 
+@query("""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS seq, turn * 61.25::DOUBLE AS "start", turn * 61.25::DOUBLE + 2.5 AS "end", role || ' number ' || turn AS text FROM conversations""")
+def vtt_of_talks(spark, d):
+    """The cues of caption files that are made of every conversation's turns, tags and odd blanks included."""
+    c = _t(spark, d, "conversations").withColumn("a", F.col("turn") * 61250).withColumn("z", F.col("a") + 2500)
+    part = lambda ms, unit, n: F.lpad((F.floor(ms / unit) % n).cast("string"), 2, "0")
+    stamp = lambda ms: F.concat(part(ms, 3_600_000, 100), F.lit(":"), part(ms, 60_000, 60), F.lit(":"), part(ms, 1000, 60), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
+    cue = F.concat(stamp(F.col("a")), F.lit(" --> "), stamp(F.col("z")), F.lit(" align:start\n<c>"), "role", F.lit("</c>\nnumber  "), "turn", F.lit("\n\n"))
+    files = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cue.alias("cue")))).alias("cues"))
+    files = files.select("conv_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("cues", lambda x: x["cue"]), "")).alias("value"))
+    return mining.caption_cues(files, "conv_id")
+
+
 @query("""SELECT page_id, title, length(title)::INTEGER AS n, title LIKE '%|%' AS piped, lower(regexp_extract(title, '^([\\p{L}\\p{N}]+)', 1)) AS head FROM (SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages)""")
 def page_titles(spark, d):
     p = _t(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
@@ -541,6 +564,35 @@ def lineage_rank(spark, d):
     return lineage.rank(_nodes(spark)).select("id", "impact")
 
 
+def _tree(spark, d):
+    """Customers as an exploration tree: each branches off from the one with half its key."""
+    c = _t(spark, d, "customer")
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    up = F.floor(F.col("c_custkey") / 2)
+    verdict = F.when(F.col("c_acctbal") > 5000, "kept").when(F.col("c_acctbal") > 0, "keep").otherwise("dropped")
+    return c.select(F.col("c_custkey").cast("int").alias("seq"), name(F.col("c_custkey")).alias("id"), F.when(up >= 1, name(up)).alias("parent"), F.col("c_nationkey").cast("string").alias("round"), F.col("c_name").alias("intent"), F.col("c_mktsegment").alias("action"), F.lit("seen").alias("observation"), F.lit("m").alias("metric"), verdict.alias("verdict"), F.lit("").alias("commit"))
+
+
+_TREE_OF = """WITH RECURSIVE n AS (SELECT c_custkey AS seq, 'c' || c_custkey AS id, CASE WHEN c_custkey // 2 >= 1 THEN 'c' || (c_custkey // 2) END AS parent, c_nationkey::VARCHAR AS round, c_name AS intent, c_mktsegment AS action, CASE WHEN c_acctbal > 5000 THEN 'kept' WHEN c_acctbal > 0 THEN 'keep' ELSE 'dropped' END AS verdict FROM customer)"""
+
+
+@query(f"""{_TREE_OF}, up AS (SELECT id, parent AS at, id AS path, 1 AS depth FROM n UNION ALL SELECT u.id, n.parent, n.id || ' <- ' || u.path, u.depth + 1 FROM up u JOIN n ON n.id = u.at)
+SELECT id, arg_max(path, depth) AS path, max(depth)::INTEGER AS depth FROM up GROUP BY id""")
+def lineage_tree(spark, d):
+    return lineage.paths(_tree(spark, d))
+
+
+@query(f"""{_TREE_OF} SELECT round, '## Round ' || round || chr(10) || chr(10) || string_agg('- **' || id || '** [' || verdict || ']' || chr(10) || '  - intent: ' || intent || chr(10) || '  - action: ' || action || chr(10) || '  - outcome: seen (metric: m)'
+ || CASE WHEN parent IS NOT NULL THEN chr(10) || '  - branched from: ' || parent ELSE '' END, chr(10) ORDER BY seq) AS text FROM n GROUP BY round""")
+def lineage_rounds(spark, d):
+    return lineage.render(_tree(spark, d))
+
+
+@query(f"""{_TREE_OF} SELECT id, 0.05::DOUBLE AS impact FROM n WHERE verdict = 'kept'""")
+def lineage_ranks(spark, d):
+    return lineage.rank(_tree(spark, d)).select("id", "impact")
+
+
 @query()
 def lineage_log(spark, d):
     return lineage.render(_nodes(spark))
