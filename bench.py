@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from tesserae.plans.catalog import QUERIES
 
-HEADLINE = ["seg_cuts", "interval_argmin", "robust_spikes", "tolerance_scores", "embedding_mad", "norm_dedupe", "bibliography_entries", "overlap_join", "catalog_lookup", "match_docs", "interleave", "panel_text", "stitch_lines", "status_counts"]
+HEADLINE = ["seg_cuts", "interval_argmin", "robust_spikes", "tolerance_scores", "embedding_mad", "norm_dedupe", "bibliography_entries", "overlap_join", "catalog_lookup", "match_docs", "interleave", "panel_text", "stitch_lines", "status_counts", "hold_detector", "group_reads", "cluster_reads", "dedupe_entries", "detector_bench", "verify_queue", "heard_titles"]
 
 
 def main() -> None:

@@ -195,13 +195,13 @@ def test_columns(spark):
     assert spatial.stitch(lines, "k").count() == 6
 
 
-SLOW = {"heard_titles", "verify_queue"}
+NO_ROWS = {"book_context", "book_context_all"}  # the made-up prose holds none of the words
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_runs(spark, name):
-    df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert df.columns and df.count() >= 0
+    rows = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert bool(rows) != (name in NO_ROWS)
 
 
 def test_contract(spark):
