@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as X
 from ..functions.kernels import fuzzy_score_udf
@@ -37,7 +38,26 @@ def ask(items: DataFrame, model: Callable[[list[str]], list[str]], column: str,
                 part["reply"] = model(part[column].tolist())
                 yield part
 
-    return items.mapInPandas(run, items.schema.add("reply", "string"))
+    return items.mapInPandas(run, StructType([*items.schema.fields, StructField("reply", StringType())]))
+
+
+def extract_titles(segments: DataFrame, model: Callable[[list[str]], list[str]], key: str = "doc_id", chunk: int = 80) -> DataFrame:
+    """(key, phrase, t): the titles an injected model finds in a transcript, `chunk` segments at a time. It gets the
+    segments of a chunk with their times, one a line, and answers with a JSON list of {title, t}; what is no
+    such list counts for nothing, a title counts once, at its first time."""
+    place = Window.partitionBy(key).orderBy("seq")
+    lines = segments.select(key, "seq", F.floor((F.row_number().over(place) - 1) / chunk).alias("_c"), F.concat(F.lit("["), F.bround("start", 1).cast("string"), F.lit("] "), "text").alias("_l"))
+    chunks = lines.groupBy(key, "_c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "_l"))), lambda x: x["_l"]), "\n").alias("said"))
+    got = ask(chunks, model, "said", 1).withColumn("e", F.explode(parse_reply(F.col("reply"), "array<struct<title:string,t:double>>")))
+    title = F.trim("e.title")
+    found = got.where(title != "").groupBy(key, F.lower(title).alias("_k")).agg(F.min(F.struct(F.coalesce("e.t", F.lit(0.0)).alias("t"), title.alias("phrase"))).alias("m"))
+    return found.select(key, "m.phrase", "m.t")
+
+
+def correct_phrases(phrases: DataFrame, model: Callable[[list[str]], list[str]], chunk: int = 40) -> DataFrame:
+    """(phrase, fixed): an injected model's spelling of each distinct phrase, `chunk` at a time; unanswered ones stay."""
+    said = ask(phrases.select("phrase").where("phrase IS NOT NULL").distinct(), model, "phrase", chunk)
+    return said.select("phrase", F.coalesce(F.nullif(F.trim("reply"), F.lit("")), "phrase").alias("fixed"))
 
 
 def corrected(phrases: DataFrame, corrections: DataFrame) -> DataFrame:

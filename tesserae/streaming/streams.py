@@ -58,3 +58,24 @@ def delayed_cuts(events: DataFrame, key: str = "user_id", value: str = "value",
         yield pd.DataFrame(out, columns=[key, time, "mad", "win"])
 
     return events.select(key, time, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time} timestamp, mad double, win double", "last double, steps string", "append", GroupStateTimeout.NoTimeout)
+
+
+def held_cuts(events: DataFrame, thr: float, hold: int, key: str = "user_id", value: str = "value", time: str = "ts", order: str = "event_id") -> DataFrame:
+    """(key, order): a row that stays over `thr` away from the last kept one for `hold` rows running becomes the
+    next kept row; a key's first row is one. State holds the kept value and the run, whatever the length of the
+    series. Rows have to come in order within a key from batch to batch."""
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (key, order)}
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, run = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(batches)).sort_values([time, order])
+        out = []
+        for v, at in rows[[value, order]].itertuples(index=False):
+            run = run + 1 if kept is not None and abs(v - kept) > thr else 0
+            if kept is None or run >= hold:
+                kept, run = float(v), 0
+                out.append((k[0], at))
+        state.update((kept, run))
+        yield pd.DataFrame(out, columns=[key, order])
+
+    return events.select(key, order, time, value).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}", "kept double, run int", "append", GroupStateTimeout.NoTimeout)

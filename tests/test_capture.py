@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tesserae import cli
-from tesserae.operators import capture
+from tesserae.operators import capture, review
+from tesserae.operators import timeseries as ts
 from tesserae.sources import readers
 from tesserae.streaming import streams
 
@@ -109,3 +110,23 @@ def test_streams_are_their_batch_forms(spark, tmp_path):
     assert sorted((r["start"], r["event_type"], r["n"]) for r in counts.collect()) == sorted((r["window"]["start"], r["event_type"], r["n"]) for r in want.collect())
     firsts = streamed(spark, streams.first_seen(stream(), keys=("event_type",), late="10000 days"), "firsts", "append")
     assert sorted(r["event_type"] for r in firsts.collect()) == sorted(r[0] for r in events.select("event_type").distinct().collect())
+
+
+def test_hold_detector_in_a_stream(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("ts", "event_id")
+    events.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    got = streamed(spark, streams.held_cuts(stream, 100.0, 3), "held", "append")
+    batch = ts.hold_detector(ts.positions(events.select("user_id", "event_id", "ts", "value"), "user_id", "ts", "event_id"), "user_id", lambda a, b: F.abs(a - b), "value", [(100.0, 3)])
+    assert got.count() == batch.count() > 0
+    assert sorted(r[0] for r in got.groupBy("user_id").count().select("count").collect()) == sorted(r[0] for r in batch.groupBy("user_id").count().select("count").collect())
+
+
+def test_language_model_gates(spark):
+    def titles(texts):
+        return ["```json\n[{\"title\": \"Sapiens\", \"t\": 5.0}, {\"title\": \" \"}]\n```" if "Sapiens" in t else "no list" for t in texts]
+
+    said = spark.createDataFrame([(1, i, float(i), "we read Sapiens" if i in (5, 7) else "and so on") for i in range(10)] + [(2, 0, 0.0, "nothing")], "doc_id long, seq long, start double, text string")
+    assert [tuple(r) for r in review.extract_titles(said, titles, chunk=4).collect()] == [(1, "Sapiens", 5.0)]
+    fixed = review.correct_phrases(spark.createDataFrame([("LOSISG GROUND",), ("LOSISG GROUND",), ("x",), (None,)], "phrase string"), lambda ps: ["Losing Ground" if "LOS" in p else "" for p in ps])
+    assert {tuple(r) for r in fixed.collect()} == {("LOSISG GROUND", "Losing Ground"), ("x", "x")}
