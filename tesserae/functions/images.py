@@ -114,28 +114,106 @@ def unsharp(img: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, 255).astype(np.uint8)
 
 
+def _smooth(g: np.ndarray, weights: np.ndarray, mode: str) -> np.ndarray:
+    """Weighted means along both axes."""
+    for axis in (0, 1):
+        wide = np.pad(g, [(len(weights) // 2,) * 2 if i == axis else (0, 0) for i in (0, 1)], mode=mode)
+        g = np.tensordot(np.lib.stride_tricks.sliding_window_view(wide, len(weights), axis), weights, 1)
+    return g
+
+
 def binarize(img: np.ndarray, block: int = 25, c: float = 11) -> np.ndarray:
-    """Black and white by the local mean less a constant."""
-    g, r = luma(img).astype(np.float64), block // 2
-    sums = np.pad(np.pad(g, r, mode="edge").cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    mean = (sums[block:, block:] - sums[:-block, block:] - sums[block:, :-block] + sums[:-block, :-block]) / block**2
+    """Black and white by the bell-weighted local mean less a constant, a little smoothed before."""
+    g = np.rint(_smooth(luma(img).astype(np.float64), np.array([0.25, 0.5, 0.25]), "symmetric"))
+    sigma = 0.3 * (block / 2 - 1.5) + 0.8
+    bell = np.exp(-0.5 * ((np.arange(block) - block // 2) / sigma) ** 2)
+    mean = np.rint(_smooth(g, bell / bell.sum(), "edge"))
     return np.repeat(np.where(g > mean - c, 255, 0).astype(np.uint8)[:, :, None], 3, 2)
 
 
-def upscale(img: np.ndarray, scale: int) -> np.ndarray:
-    """Bilinear enlargement."""
+def upscale(img: np.ndarray, scale: int, lobes: int = 4) -> np.ndarray:
+    """Lanczos enlargement, edges repeated."""
     if scale == 1:
         return img
-    h, w = img.shape[:2]
-    y, x = (np.clip((np.arange(n * scale) + 0.5) / scale - 0.5, 0, n - 1) for n in (h, w))
-    y0, x0 = y.astype(int), x.astype(int)
-    y1, x1, fy, fx = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1), (y - y0)[:, None, None], (x - x0)[None, :, None]
-    f = img.astype(np.float64)
-    top, low = f[y0][:, x0] * (1 - fx) + f[y0][:, x1] * fx, f[y1][:, x0] * (1 - fx) + f[y1][:, x1] * fx
-    return np.rint(top * (1 - fy) + low * fy).astype(np.uint8)
-
-
-PRESETS = {"lanczos": lambda x: x, "unsharp": unsharp, "binarize": binarize}
+    out = img.astype(np.float64)
+    for axis in (0, 1):
+        n = img.shape[axis]
+        at = (np.arange(n * scale)[:, None] + 0.5) / scale - 0.5
+        taps = np.floor(at) + np.arange(1 - lobes, lobes + 1)
+        w = np.sinc(at - taps) * np.sinc((at - taps) / lobes)
+        w = (w / w.sum(1, keepdims=True)).reshape(-1, 2 * lobes, 1, 1)
+        near, along = np.clip(taps, 0, n - 1).astype(int), np.moveaxis(out, axis, 0)
+        out = np.moveaxis(sum(w[:, k] * along[near[:, k]] for k in range(2 * lobes)), 0, axis)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+#: Linear sRGB to XYZ, each row over the white point (D65).
+_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]]) / [[0.950456], [1.0], [1.088754]]
+
+
+def _to_lab(rgb: np.ndarray) -> np.ndarray:
+    v = rgb / 255.0
+    xyz = np.where(v > 0.04045, ((v + 0.055) / 1.055) ** 2.4, v / 12.92) @ _XYZ.T
+    f = np.where(xyz > (6 / 29) ** 3, np.cbrt(xyz), xyz / (3 * (6 / 29) ** 2) + 4 / 29)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1)
+
+
+def _from_lab(lab: np.ndarray) -> np.ndarray:
+    y = (lab[..., 0] + 16) / 116
+    f = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], -1)
+    v = np.where(f > 6 / 29, f**3, 3 * (6 / 29) ** 2 * (f - 4 / 29)) @ np.linalg.inv(_XYZ).T
+    v = np.where(v > 0.0031308, 1.055 * np.clip(v, 0, None) ** (1 / 2.4) - 0.055, 12.92 * v)
+    return np.clip(np.rint(v * 255), 0, 255).astype(np.uint8)
+
+
+def equalise(gray: np.ndarray, clip: float = 2.5, tiles: int = 8) -> np.ndarray:
+    """Each pixel's rank among its surroundings, mixed from the four nearest tiles; counts of a value over
+    `clip` times the even share are spread over all values, which bounds the contrast."""
+    (h, w), k = gray.shape, tiles
+    th, tw = -(-h // k), -(-w // k)
+    full = np.pad(gray, ((0, k * th - h), (0, k * tw - w)), mode="symmetric").reshape(k, th, k, tw)
+    of = np.arange(k)[:, None, None, None] * k + np.arange(k)[None, None, :, None]
+    count = np.bincount((of * 256 + full).ravel(), minlength=k * k * 256).reshape(k, k, 256).astype(np.float64)
+    most = max(clip * th * tw / 256, 1.0)
+    count = np.minimum(count, most) + np.maximum(count - most, 0).sum(2, keepdims=True) / 256
+    ranks = np.rint(count.cumsum(2) * 255 / (th * tw))
+    y, x = ((np.arange(n) + 0.5) / t - 0.5 for n, t in ((h, th), (w, tw)))
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    out = np.zeros((h, w))
+    for dy, fy in ((0, 1 - (y - y0)), (1, y - y0)):
+        for dx, fx in ((0, 1 - (x - x0)), (1, x - x0)):
+            at = np.clip(y0 + dy, 0, k - 1)[:, None], np.clip(x0 + dx, 0, k - 1)[None, :]
+            out += fy[:, None] * fx[None, :] * ranks[(*at, gray)]
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def clahe(img: np.ndarray) -> np.ndarray:
+    """Lightness equalised tile by tile, colours kept."""
+    lab = _to_lab(img)
+    lab[..., 0] = equalise(np.clip(np.rint(lab[..., 0] * 2.55), 0, 255).astype(np.uint8)) / 2.55
+    return _from_lab(lab)
+
+
+def denoise(img: np.ndarray, h: float = 6.0, patch: int = 7, reach: int = 21) -> np.ndarray:
+    """Non-local means: a pixel is the mean of those within reach, weighted by how alike their patches are. It
+    passes over the image reach squared times: for crops, not for whole frames at scale."""
+    r, p = reach // 2, patch // 2
+    rows, cols = img.shape[:2]
+    wide = np.pad(img.astype(np.float32), ((r + p, r + p), (r + p, r + p), (0, 0)), mode="symmetric")
+    core = wide[r : r + rows + 2 * p, r : r + cols + 2 * p]
+    total, weight = np.zeros(img.shape, np.float32), np.zeros((rows, cols, 1), np.float32)
+    for dy in range(reach):
+        for dx in range(reach):
+            other = wide[dy : dy + rows + 2 * p, dx : dx + cols + 2 * p]
+            sums = np.pad(((core - other) ** 2).mean(2, dtype=np.float64).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+            far = (sums[patch:, patch:] - sums[:-patch, patch:] - sums[patch:, :-patch] + sums[:-patch, :-patch]) / patch**2
+            w = np.exp(-np.clip(far, 0, None) / h**2).astype(np.float32)[..., None]
+            total += w * other[p : p + rows, p : p + cols]
+            weight += w
+    return np.clip(np.rint(total / weight), 0, 255).astype(np.uint8)
+
+
+PRESETS = {"lanczos": lambda x: x, "unsharp": unsharp, "clahe": lambda x: unsharp(clahe(x)), "denoise": lambda x: unsharp(denoise(x)), "binarize": binarize}
 
 
 def enhance(img: np.ndarray, preset: str = "unsharp", scale: int = 4) -> np.ndarray:

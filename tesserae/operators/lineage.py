@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import IMPACT
@@ -53,8 +53,9 @@ def round_order(r: Column) -> list[Column]:
 
 
 def render(nodes: DataFrame) -> DataFrame:
-    """(round, text): a Markdown section for each round, in order."""
-    n = with_impact(nodes)
+    """(round, text): a Markdown section for each round, in order. A parent that is not there is not named."""
+    known = nodes.select(F.col("id").alias("parent")).distinct()
+    n = with_impact(nodes).drop("parent").join(nodes.select("seq", "parent").join(known, "parent"), "seq", "left")
     head = F.concat(F.lit("- **"), "id", F.lit("** ["), "verdict", F.when(F.col("id").isin(list(IMPACT)), F.concat(F.lit(", impact "), F.format_number("impact", 2))).otherwise(""), F.lit("]"), F.coalesce(F.concat(F.lit(" commit "), F.nullif("commit", F.lit(""))), F.lit("")))
     parent = F.when(F.col("parent").isNotNull(), F.concat(F.lit("\n  - branched from: "), "parent")).otherwise("")
     item = F.concat(head, F.lit("\n  - intent: "), "intent", F.lit("\n  - action: "), "action", F.lit("\n  - outcome: "), "observation", F.lit(" (metric: "), "metric", F.lit(")"), parent)
@@ -62,3 +63,22 @@ def render(nodes: DataFrame) -> DataFrame:
     title = F.when(F.col("round") == "x", "Dead ends (tried, dropped, why)").when(F.col("round") == "open", "Declared-open fronts").otherwise(F.concat(F.lit("Round "), "round"))
     text = F.concat(F.lit("## "), title, F.lit("\n\n"), F.array_join(F.transform("i", lambda s: s["t"]), "\n"))
     return grouped.select("round", text.alias("text")).orderBy(*round_order(F.col("round")))
+
+
+def ideas(nodes: DataFrame) -> DataFrame:
+    """(id, impact, line): the nodes of a set worth, whatever their verdict, the best first."""
+    worth = nodes.where(F.col("id").isin([i for i, v in IMPACT.items() if v > 0]))
+    line = F.concat(F.lit("1. "), F.format_number("impact", 2), F.lit(" `"), "id", F.lit("` - "), "intent", F.lit(" ["), "metric", F.lit("]"))
+    return with_impact(worth).select("id", "impact", line.alias("line"), "seq").orderBy(F.desc("impact"), "seq").drop("seq")
+
+
+def log(nodes: DataFrame) -> DataFrame:
+    """(ord, text): the whole log, section by section: a heading, the rounds in order, the ranked ideas."""
+    spark = nodes.sparkSession
+    head = spark.createDataFrame([(0, "# Log of the exploration\n\nEvery decision with its outcome. Verdicts: kept, dropped, open.")], "ord int, text string")
+    rounds = render(nodes).withColumn("ord", F.row_number().over(Window.orderBy(*round_order(F.col("round")))))  # rounds are few
+    lines = F.array_sort(F.collect_list(F.struct((-F.col("impact")).alias("i"), "seq", "line")))
+    best = ideas(nodes).join(nodes.select("id", "seq"), "id").agg(lines.alias("l"))
+    text = F.concat(F.lit("## Ranked ideas\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    last = best.select(F.lit(2**31 - 1).alias("ord"), text.alias("text"))
+    return head.unionByName(rounds.select("ord", "text")).unionByName(last).orderBy("ord")

@@ -264,7 +264,7 @@ n AS (SELECT conv_id, turn, trim(CASE WHEN b IS NOT NULL AND starts_with(text, b
 r AS (SELECT conv_id, text, turn * 2.0::DOUBLE AS a, turn * 2.0::DOUBLE + 2 AS z, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM n WHERE text <> ''),
 f(conv_id, k, seg, a, z, text) AS (SELECT conv_id, k, 0, a, z, text FROM r WHERE k = 1
  UNION ALL SELECT r.conv_id, r.k, f.seg + o.o::INTEGER, CASE WHEN o.o THEN r.a ELSE f.a END, r.z, CASE WHEN o.o THEN r.text ELSE trim(f.text || ' ' || r.text, ' ') END
-  FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k + 1, LATERAL (SELECT len(regexp_split_to_array(f.text, '\s+')) >= 10 OR f.z - f.a > 6.0 AS o) o)
+  FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k + 1, LATERAL (SELECT len(regexp_split_to_array(f.text, '\\s+')) >= 10 OR f.z - f.a > 6.0 AS o) o)
 SELECT conv_id, seg::INTEGER AS seq, arg_max(a, k) AS "start", arg_max(z, k) AS "end", arg_max(text, k) AS text FROM f GROUP BY conv_id, seg""")
 def caption_segments(spark, d):
     t = F.col("turn").cast("double")
@@ -406,6 +406,18 @@ def catalog_seed(spark, d):
     return resolve.seed(p).select("seq", "title")
 
 
+@query("""SELECT p_name AS phrase, 0::BIGINT AS seq, 'On ' || p_name AS title, 'A ' || p_brand AS authors, CASE WHEN p_size % 5 > 0 THEN 1900 + p_size END::INTEGER AS year, 3 AS editions, 'Press' AS publisher FROM part
+WHERE p_size % 3 < 2 AND len(list_filter(regexp_extract_all(p_name, '[A-Za-z0-9'']+'), lambda w: length(w) > 2)) >= 2""")
+def register_books(spark, d):
+    """A register's replies made of all parts: a book, a monograph or an article each, and an article after it."""
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    kind = F.element_at(F.array(*map(F.lit, ("book", "monograph", "journal-article"))), (F.col("p_size") % 3 + 1).cast("int"))
+    year = F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("[["), (F.lit(1900) + F.col("p_size")).cast("string"), F.lit(", 3]]"))).otherwise("[[null]]")
+    reply = F.concat(F.lit('{"message": {"items": [{"type": '), quoted(kind), F.lit(', "title": ['), quoted(F.concat(F.lit("On "), "p_name")), F.lit('], "author": [{"given": "A", "family": '), quoted(F.col("p_brand")), F.lit('}], "issued": {"date-parts": '), year, F.lit('}, "publisher": "Press"}, {"type": "journal-article", "title": ["x"]}]}}'))
+    docs = resolve.monographs(_t(spark, d, "part").select(F.col("p_name").alias("phrase"), reply.alias("value")))
+    return docs.select("phrase", "seq", "title", F.array_join("author_name", "; ").alias("authors"), F.col("first_publish_year").alias("year"), F.col("edition_count").alias("editions"), "publisher")
+
+
 @query()
 def match_docs(spark, d):
     p = _phrases(spark, d)
@@ -595,7 +607,7 @@ def lineage_ranks(spark, d):
 
 @query()
 def lineage_log(spark, d):
-    return lineage.render(_nodes(spark))
+    return lineage.log(_nodes(spark))
 
 
 @query("""SELECT p_partkey, '@book{' || regexp_replace(lower(p_brand), '[^a-z]', '', 'g') || (1900 + p_size) || ',' || chr(10) || '  title  = {' || p_name || '},' || chr(10) || '  author = {' || p_brand || '},' || chr(10) || '  year   = {' || (1900 + p_size) || '},' || chr(10)

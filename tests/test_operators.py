@@ -1,5 +1,6 @@
 """Expected behaviour of the relational operators and kernels on small inputs."""
 
+import json
 import random
 import re
 
@@ -171,6 +172,36 @@ def test_alternatives_of_a_spine(spark):
     assert got[0]["alts"][0] == "LOSING THE RACF" and "LOSING THE RACE" in got[0]["alts"] and len(got[0]["alts"]) <= 12 and len(set(got[0]["alts"])) == len(got[0]["alts"])
 
 
+def test_register_books(spark):
+    payload = {"message": {"items": [
+        {"type": "book", "title": ["Losing the Race"], "author": [{"given": "Charles", "family": "Murray"}, {"family": "Solo"}], "issued": {"date-parts": [[2000]]}, "publisher": "P" * 99},
+        {"type": "journal-article", "title": ["Losing the Race?"], "issued": {"date-parts": [[2001]]}}, {"type": "monograph", "title": []}, {"type": "monograph", "title": ["Bare"]}]}}
+    text = json.dumps(payload)
+    rows = [("Losing the Race", text), ("Race", text), ("to be of it", text), ("Nothing Found", None), ("Not Json", "<html>"), ("Empty Reply", "{}")]
+    docs = resolve.monographs(spark.createDataFrame(rows, "phrase string, value string"))
+    got = {r["title"]: r for r in docs.collect()}
+    assert set(got) == {"Losing the Race", "Bare"} and {r["phrase"] for r in got.values()} == {"Losing the Race"}
+    book = got["Losing the Race"]
+    assert (book["author_name"], book["first_publish_year"], book["edition_count"], len(book["publisher"])) == (["Charles Murray", "Solo"], 2000, 3, 80)
+    assert got["Bare"]["author_name"] == [] and got["Bare"]["first_publish_year"] is None
+    hit = resolve.match(resolve.lookup(spark.createDataFrame([("Losing the Race",)], "phrase string"), resolve.catalogue_rows(docs))).first()
+    assert (hit["title"], hit["year"], hit["low_support"]) == ("Losing the Race", 2000, False)
+
+
+def test_what_to_ask_ahead(spark):
+    visual = spark.createDataFrame([("Losing Ground", ["x"]), ("LOSINC RACE", ["LOSING RACE", "ALONE", "Losing race!", "Old Answer", "Past Four"]), ("Single", ["Two Words"]), (None, None)], "phrase string, alts array<string>")
+    one = lambda *p: spark.createDataFrame([(x,) for x in p], "phrase string")
+    got = sorted(r["phrase"] for r in resolve.to_warm(visual, one("Losing Ground"), one("old answer")).collect())
+    assert got == ["LOSINC RACE", "LOSING RACE"]
+
+
+def test_whole_log(spark):
+    text = [r["text"] for r in lineage.log(catalog._nodes(spark)).collect()]
+    assert [t.split("\n")[0] for t in text] == ["# Log of the exploration", "## Round 1", "## Round 2", "## Round 8", "## Declared-open fronts", "## Dead ends (tried, dropped, why)", "## Ranked ideas"]
+    assert text[-1].split("\n")[2:] == ["1. 0.79 `r8-synth` - why r8-synth [m=1]", "1. 0.35 `o-catalog` - why o-catalog [m=1]"]
+    assert "branched from: a" in text[1] and "branched from" not in text[4]
+
+
 def test_lineage_and_export(spark):
     assert {r["id"]: r["path"] for r in lineage.paths(catalog._nodes(spark)).collect()}["c"] == "a <- b <- c"
     e = spark.createDataFrame([("P", None, [], None, 0.5, "exact", ["P"])], "phrase string, title string, authors array<string>, year int, score double, match_type string, provenance array<string>")
@@ -189,6 +220,36 @@ def test_image_kernels():
         images.enhance(img, "nope")
 
 
+@pytest.mark.parametrize("preset", sorted(images.PRESETS))
+def test_presets(preset):
+    crop = (np.random.default_rng(0).random((30, 60, 3)) * 255).astype("uint8")
+    out = images.enhance(crop, preset, 2)
+    assert out.shape == (60, 120, 3) and out.dtype == np.uint8
+    flat = np.full((9, 11, 3), 90, np.uint8)
+    if preset != "binarize":
+        assert abs(images.enhance(flat, preset, 3).astype(int) - 90).max() <= (60 if preset == "clahe" else 0)
+
+
+def test_presets_do_what_they_say():
+    r = np.random.default_rng(1)
+    wave = np.rint(127 + 100 * np.sin(np.arange(40) / 4))[None, :].repeat(24, 0).astype(np.uint8)[:, :, None].repeat(3, 2)
+    fine = 127 + 100 * np.sin(((np.arange(160) + 0.5) / 4 - 0.5) / 4)
+    assert abs(images.upscale(wave, 4)[40, 20:140, 0] - fine[20:140]).max() < 2  # the curve between the samples
+    gray = r.integers(100, 120, (64, 64)).astype(np.uint8)
+    plain = np.rint(np.bincount(gray.ravel(), minlength=256).cumsum() * 255 / gray.size)[gray]
+    assert (images.equalise(gray, clip=1e9, tiles=1) == plain).all()
+    assert gray.std() < images.equalise(gray).std() < images.equalise(gray, clip=1e9).std()
+    lab = images._to_lab(r.integers(0, 256, (20, 20, 3)).astype(np.uint8))
+    assert lab[..., 0].min() >= 0 and lab[..., 0].max() <= 100 and (images._to_lab(images._from_lab(lab)) - lab).__abs__().max() < 1e-6
+    edge = np.where(np.arange(40)[None, :, None] < 20, 60, 180).repeat(30, 0).repeat(3, 2)
+    noisy = np.clip(edge + r.normal(0, 4, edge.shape), 0, 255).astype(np.uint8)
+    clean = images.denoise(noisy)
+    assert abs(clean - edge).mean() < abs(noisy - edge).mean() / 1.5 and clean[:, 21].mean() - clean[:, 18].mean() > 100
+    page = np.full((40, 60, 3), 200, np.uint8)
+    page[15:20, 10:50] = 120
+    assert {tuple(np.unique(images.binarize(page)[15:20, 20:40])), tuple(np.unique(images.binarize(page)[2:4]))} == {(0,), (255,)}
+
+
 def test_columns(spark):
     rows = [(1, 0.0, float(y), x, f"line number {y} {x}", 0.9) for y in range(3) for x in (200.0, 1200.0)]
     lines = spark.createDataFrame(rows + rows[:2], "k int, t double, y double, x double, text string, conf double")
