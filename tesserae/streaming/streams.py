@@ -39,11 +39,11 @@ def delayed_cuts(events: DataFrame, key: str = "user_id", value: str = "value",
 
     def step(k_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, steps = state.get if state.exists else (None, "")
-        kept = [tuple(map(float, s.split(":"))) for s in steps.split(",") if s]
+        kept = [(int(t), float(m)) for t, m in (s.split(":") for s in steps.split(",") if s)]  # times in microseconds
         out = []
         for b in batches:
             for t, v in b.sort_values(time)[[time, value]].itertuples(index=False):
-                kept.append((t.timestamp(), abs(v - last) if last is not None else 0.0))
+                kept.append((int(t.asm8.astype("datetime64[us]").astype("int64")), abs(float(v) - last) if last is not None else 0.0))
                 last = float(v)
                 if len(kept) == 1:
                     kept = kept * (k + 1)  # the series' beginning, repeated outwards
@@ -53,7 +53,7 @@ def delayed_cuts(events: DataFrame, key: str = "user_id", value: str = "value",
                     win = sorted(m for _, m in kept)[k]
                     at, mad = kept[k]
                     if mad > spike and win < stable:
-                        out.append((k_[0], pd.Timestamp(at, unit="s"), mad, win))
+                        out.append((k_[0], pd.Timestamp(at, unit="us"), mad, win))
         state.update((last, ",".join(f"{t!r}:{m!r}" for t, m in kept)))
         yield pd.DataFrame(out, columns=[key, time, "mad", "win"])
 

@@ -122,6 +122,21 @@ def test_hold_detector_in_a_stream(spark, tmp_path):
     assert sorted(r[0] for r in got.groupBy("user_id").count().select("count").collect()) == sorted(r[0] for r in batch.groupBy("user_id").count().select("count").collect())
 
 
+def test_sessions_and_delayed_cuts_in_a_stream(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).orderBy("ts", "event_id")
+    events.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    got = streamed(spark, streams.sessions(stream()), "sessions", "complete")
+    want = events.groupBy(F.session_window("ts", "2 hours").alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", "w.start", "w.end", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    got = streamed(spark, streams.delayed_cuts(stream(), spike=60.0, stable=90.0), "delayed", "append")
+    at = ts.positions(events.select("user_id", "event_id", "ts", "value"), "user_id", "ts", "event_id")
+    last = at.groupBy("user_id").agg(F.max("pos").alias("last"))
+    batch = ts.rolling_median(ts.consecutive_mad(at, "user_id", "value"), "user_id", 5).where("mad > 60 AND win < 90").join(last, "user_id").where("pos + 5 <= last")
+    key = lambda df: sorted((r["user_id"], r["ts"], round(r["mad"], 6), round(r["win"], 6)) for r in df.collect())
+    assert key(got) == key(batch) and got.count() > 0
+
+
 def test_language_model_gates(spark):
     def titles(texts):
         return ["```json\n[{\"title\": \"Sapiens\", \"t\": 5.0}, {\"title\": \" \"}]\n```" if "Sapiens" in t else "no list" for t in texts]
