@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import IMPACT
+from ..plans.cuts import cut
 
 
 def with_impact(nodes: DataFrame) -> DataFrame:
@@ -26,16 +25,23 @@ def rank(nodes: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(id, path, depth): from the root down to each node, by a recursive query. An unknown parent ends it;
-    a tree of over 1,000 levels, or one that runs in a circle, is an error."""
-    name = f"_lineage_{uuid.uuid4().hex}"  # two calls at once do not see each other's nodes
-    nodes.select("id", "parent").createOrReplaceTempView(name)
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE up (id, at, path, depth) MAX RECURSION LEVEL 1000 AS (
-            SELECT id, parent, array(id), 1 FROM {name}
-            UNION ALL
-            SELECT u.id, n.parent, concat(array(n.id), u.path), u.depth + 1 FROM up u JOIN {name} n ON n.id = u.at)
-        SELECT id, array_join(max_by(path, depth), ' <- ') AS path, max(depth) AS depth FROM up GROUP BY id""")
+    """(id, path, depth): from the root down to each node. An unknown parent ends it; a tree that runs in a
+    circle is an error.
+
+    Paths double their length by each round's join. The nodes that are some others' 2^k-th ancestors get fewer
+    with every k, so where as many are left as the round before they stand in a circle, or above one."""
+    up = nodes.select("id", F.col("parent").alias("at"), F.col("id").cast("string").alias("path"), F.lit(1).alias("depth"))
+    before = None
+    while left := up.select("at").distinct().where("at IS NOT NULL").count():
+        if left == before:
+            raise ValueError("the tree runs in a circle")
+        before, open_ = left, up.where("at IS NOT NULL")
+        # in late rounds few ancestors are asked for by all rows: only those are met
+        tops = up.join(open_.select(F.col("at").alias("id")).distinct(), "id", "left_semi")
+        tops = tops.select(F.col("id").alias("at"), F.col("at").alias("_up"), F.col("path").alias("_over"), F.col("depth").alias("_more"))
+        longer = open_.join(tops, "at", "left").select("id", F.col("_up").alias("at"), F.concat_ws(" <- ", "_over", "path").alias("path"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"))
+        up = cut(up.where("at IS NULL").unionByName(longer))
+    return up.groupBy("id").agg(F.coalesce(F.max_by("path", "depth"), F.lit("")).alias("path"), F.max("depth").alias("depth"))
 
 
 def by_verdict(nodes: DataFrame, verdict: str) -> DataFrame:

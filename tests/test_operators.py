@@ -208,6 +208,22 @@ def test_lineage_and_export(spark):
     assert export.bibtex(e).first()["bibtex"].startswith("@book{anon,\n  title  = {P},\n  author = {Unknown},")
 
 
+def test_paths_of_large_deep_and_round_trees(spark):
+    nodes = lambda rows: spark.createDataFrame(rows, "id string, parent string")
+    heap = spark.range(1, 70_001).select(F.concat(F.lit("c"), "id").alias("id"), F.when(F.col("id") > 1, F.concat(F.lit("c"), F.floor(F.col("id") / 2))).alias("parent"))
+    got = lineage.paths(heap)  # over a million rows by the way
+    levels = got.agg(F.sum("depth"), F.max("depth"), F.count("*")).first()
+    assert tuple(levels) == (sum(i.bit_length() for i in range(1, 70_001)), 17, 70_000)
+    assert got.where("id = 'c69999'").first()["path"] == " <- ".join(f"c{69999 >> k}" for k in range(16, -1, -1))
+    chain = {r["id"]: r for r in lineage.paths(nodes([(f"n{i}", f"n{i - 1}" if i else "unknown") for i in range(1200)])).collect()}
+    assert chain["n1199"]["depth"] == 1200 and chain["n1199"]["path"].startswith("n0 <- n1 <- ") and chain["n0"]["path"] == "n0"
+    twice = lineage.paths(nodes([("a", None), ("b", "a"), ("c", "a"), ("c", "b"), (None, "b")])).collect()
+    assert {(r["id"], r["path"], r["depth"]) for r in twice} == {("a", "a", 1), ("b", "a <- b", 2), ("c", "a <- b <- c", 3), (None, "a <- b", 3)}
+    for ring in ([("a", "a")], [("a", "c"), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("f", None), ("g", "f")]):
+        with pytest.raises(ValueError, match="circle"):
+            lineage.paths(nodes(ring))
+
+
 def test_image_kernels():
     img = np.zeros((60, 80, 3), np.uint8)
     img[10:40, 20:50] = 200
