@@ -162,6 +162,35 @@ def test_fusion_keeps_runs_apart(spark):
     assert "## Verified titles" in text[1] and "Eccles" in text[1] and "Eccles" not in text[2]
 
 
+def test_fusion_asks_all_of_all(spark):
+    from tesserae.plans.pipeline import Artifacts, compile_entries
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("bdfgklmnprstvz", k=1)[0] + r.choices("aeiou", k=1)[0] for _ in range(4)).capitalize()
+    titles = ["Facing Reality", *(f"{word()} {word()}" for _ in range(300))]
+    spines = spark.createDataFrame([(1, i, t, 0.9, 0.0, i * 200.0, 100.0, 20.0) for i, t in enumerate(titles)], READ)
+    said = [(1, i, float(i), i + 1.0, "reality again" if i < 430 else "we read Facing Reality") for i in range(431)]
+    segments = spark.createDataFrame(said, "doc_id long, seq long, start double, end double, text string")
+    books = [(i, t, ["Al Author"], 1990, 30) for i, t in enumerate(titles[1:])] + [(1000 + i, "Facing Reality", [f"Bo Writer{chr(97 + i)}"], 1980 + i, 5 + i) for i in range(14)]
+    catalogue = resolve.catalogue_rows(spark.createDataFrame(books, "seq long, title string, authors array<string>, year int, editions int"))
+    out = compile_entries(Artifacts(spines=spines, segments=segments, catalogues=[("catalogue", catalogue)]), spark)
+    assert out["entries"].count() > 290  # more than 250 of a run; a few made-up names sound alike
+    assert [x["year"] for x in out["entries"].where("title = 'Facing Reality'").collect()] == [1993]  # more than ten of a title
+    assert [x["heard"] for x in out["shown"].where("text = 'Facing Reality'").collect()] == [True]  # more than 400 segments
+
+
+def test_hints_decide_among_all_documents(spark):
+    docs = [(0, "Facing Reality", ["Ann Most"], 1970, 90), (1, "Facing Reality", ["Ann Most"], 1960, 95), (2, "Facing Reality", ["Ann Most"], 1400, 99), (3, "Facing Reality", ["Bob Less", "Cy Zed"], 1980, 6), (4, "Facing Reality", ["Bob Other"], 1990, 7), (5, "Facing Reality", ["Bob Other"], None, 70)]
+    catalogue = resolve.catalogue_rows(spark.createDataFrame(docs, "seq long, title string, authors array<string>, year int, editions int"))
+    slim = resolve.best_editions(catalogue)
+    assert {x["seq"] for x in slim.collect()} == {1, 3, 4}
+    asked = spark.createDataFrame([(k, "Facing Reality") for k in range(1, 5)], "doc_id long, phrase string")
+    hints = spark.createDataFrame([(2, "Bob"), (3, "Bob"), (3, "Zed"), (4, "Ann"), (4, "Most")], "doc_id long, word string")
+    for rows in (catalogue, slim):
+        got = resolve.match(resolve.lookup(asked, rows, None), hints=hints, asked=asked, key="doc_id").collect()
+        assert {(x["doc_id"], x["year"]) for x in got} == {(1, 1960), (2, 1990), (3, 1980), (4, 1960)}
+
+
 def test_alternatives_of_a_spine(spark):
     from tesserae.plans.pipeline import alternatives
 
