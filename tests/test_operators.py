@@ -191,6 +191,47 @@ def test_hints_decide_among_all_documents(spark):
         assert {(x["doc_id"], x["year"]) for x in got} == {(1, 1960), (2, 1990), (3, 1980), (4, 1960)}
 
 
+def test_bounds_change_no_result(monkeypatch):
+    r = random.Random(5)
+    words = "hot large blue old cold small ring bolt plate gear losing losinc".split()
+
+    def plain(texts, threshold, conf):
+        standing, chief, out = [], [], []
+        for i, t in enumerate(texts):
+            c = next((k for k, s in enumerate(standing) if K.fuzzy_score(s, t) >= threshold), len(standing))
+            if c == len(standing):
+                standing.append(t), chief.append(i)
+            elif conf[i] > conf[chief[c]]:
+                standing[c], chief[c] = t, i
+            out.append(c)
+        return out
+
+    for k in range(30):
+        texts = [" ".join(r.choices(words, k=r.randint(0, 5))) if k % 2 else "".join(r.choices("abé -Z'9ÄßQ", k=r.randint(0, 12))) for _ in range(40)]
+        conf = [r.random() for _ in texts]
+        for threshold in (0.92, 0.75):
+            assert evidence.leaders(texts, threshold, lambda i, j: conf[i] > conf[j]) == plain(texts, threshold, conf)
+
+    def best_window(candidate, said):
+        low, n, best = said.lower(), len(candidate), (0.0, "")
+        for i in (i for i in range(max(1, len(low) - n + 1)) if i == 0 or low[i - 1] in " \t,.;:()!\"'"):
+            w = low[i : i + n + 1]
+            s = K.ratio(candidate.lower(), w)
+            s = max(s, K.phonetic_score(candidate.lower(), w)) if 0.55 <= s < 0.98 else s
+            best = (s, said[i : i + n + 1].strip()) if s > best[0] else best
+        return best
+
+    for _ in range(150):
+        c, said = " ".join(r.choices(words, k=r.randint(0, 4))), " ".join(r.choices([*words, "then", "of it,"], k=r.randint(0, 25)))
+        assert evidence.heard_in(c, said) == best_window(c, said)
+    calls = []
+    monkeypatch.setattr(evidence, "_words_alike", lambda a, b: calls.append((a, b)) or K.token_set_ratio(a, b))
+    monkeypatch.setattr(evidence, "ratio", lambda a, b: calls.append((a, b)) or K.ratio(a, b))
+    evidence.leaders(["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(200)], 0.92)
+    evidence.heard_in("quick brown fox", "mehr licht " * 100)
+    assert len(calls) < 1000  # of 19,900 pairs and 200 windows
+
+
 def test_alternatives_of_a_spine(spark):
     from tesserae.plans.pipeline import alternatives
 
